@@ -1,90 +1,152 @@
-"""Substring deduplication by hashed lines or paragraphs.
-
-Texts are cut into units at a separator. A unit is normalised (white space to
-single blanks, trimmed, lower case) and digested to 128 bits. Over all texts,
-the occurrence that ranks first (smallest doc_id, then place in the text)
-stays, every other one goes. Spans are offsets of the original text.
-
-Units under ``min_words`` words are never removed: that they repeat says
-nothing. Defined results: a null text stays null, an empty one empty, both
-without units; rows with one doc_id are the same document, and all lose the
-same units; a null doc_id ranks after all others; an empty table gives an empty
-table; other columns are left alone.
+"""Substring deduplication by hashed lines and the sentences in them.
+
+A text is cut into units: its lines, and within a line its sentences, so that a
+passage that was pasted into a line is found as well. A unit is normalised
+(white space to single blanks, lower case) and digested. Over all texts, the
+occurrence that ranks first (smallest doc_id, then place in the text) stays, and
+later ones are repeats. A repeat by itself says little if it is short, so what
+goes are stretches of neighbouring repeats of ``run_words`` words or more, and
+whole lines of ``line_words`` or more that consist of repeats. Spans are offsets
+of the original text.
+
+Within each batch of rows, all but a digest's first occurrence are known to be
+repeats at once; only that first one is compared globally, so that a digest that
+a third of all rows hold arrives once for each batch, not for each row.
+
+Defined results: a null text stays null, an empty one empty, both without units;
+rows with one doc_id are the same document, and all lose the same units; a null
+doc_id ranks after all others; an empty table gives an empty table; other
+columns are left alone.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut
-
-MIN_WORDS = 5
+RUN_WORDS, LINE_WORDS = 20, 5
+_SENTENCE = re.compile(r"[^\s][^.!?\n]*(?:[.!?]+(?!\s|\Z)[^.!?\n]*)*[.!?]*")
 _SPANS = "array<struct<start:int,stop:int>>"
 
 
-def units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, unit (its place), start, stop, h1, h2 of each long enough unit."""
+def cut_up(text: str | None) -> list[tuple[int, int, str, bool, bool]]:
+    """start, stop, normalised unit, whether it begins and ends its line."""
+    found = []
+    for m in _SENTENCE.finditer(text or ""):
+        words = m[0].split()
+        stop = m.start() + len(m[0].rstrip())
+        found.append((m.start(), stop, words))
+    out = []
+    for i, (a, b, words) in enumerate(found):
+        begins = i == 0 or "\n" in text[found[i - 1][1] : a]
+        ends = i == len(found) - 1 or "\n" in text[b : found[i + 1][0]]
+        out.append((a, b, words, begins, ends))
+    return out
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """doc_id, unit (its place), start, stop, words, edge (1: begins its line,
+    2: ends it), h1, h2, known (a repeat for sure) of each unit."""
 
     def run(batches):
         for batch in batches:
-            ids, out, digests = [], [], []
+            ids, place, digests = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = 0
-                for i, part in enumerate((text or "").split(separator)):
-                    words = part.split()
-                    if len(words) >= min_words:
-                        ids.append(doc)
-                        out.append((i, at, at + len(part)))
-                        digests.append(xxhash.xxh3_128_digest(" ".join(words).lower().encode()))
-                    at += len(part) + len(separator)
+                for i, (a, b, words, begins, ends) in enumerate(cut_up(text)):
+                    ids.append(doc)
+                    place.append((i, a, b, len(words), begins + 2 * ends))
+                    digests.append(xxhash.xxh3_128_digest(" ".join(words).lower().encode()))
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            place = np.array(out, np.int32).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(place[:, k]) for k in range(3)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "unit", "start", "stop", "h1", "h2"])
+            p = np.array(place, np.int32).reshape(-1, 5)
+            doc = np.array([x if x is not None else np.iinfo(np.int64).max for x in ids], np.int64)
+            order = np.lexsort((p[:, 0], doc, h[:, 1], h[:, 0]))
+            s, where = h[order], np.column_stack([doc, p[:, 0]])[order]
+            first = np.r_[True, (s[1:] != s[:-1]).any(1)][: len(s)]
+            leader = np.flatnonzero(first)[np.cumsum(first) - 1]
+            known = np.empty(len(s), bool)
+            known[order] = (where != where[leader]).any(1)  # a repeated row ranks as its first one
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(p[:, k]) for k in range(5)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].astype(np.int32)), pa.array(known)], ["doc_id", "unit", "start", "stop", "words", "edge", "h1", "h2", "known"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, unit int, start int, stop int, h1 long, h2 long")
-
-
-def removed_spans(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_removed, spans (sorted) of the documents that lose units."""
-    every = cut(units(docs, separator, min_words))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "unit")
-    first = every.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last").drop("last")
-    later = every.join(first, ["h1", "h2"]).where(rank > F.col("first")).select("doc_id", "start", "stop").distinct()
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")).withColumn("n_removed", F.size("spans"))
-
-
-def without_spans(text: str | None, spans: list[dict], separator: str = "\n") -> str | None:
-    """The text without the spans, each with the separator that follows it."""
+    return rows.mapInArrow(run, "doc_id long, unit int, start int, stop int, words int, edge int, h1 long, h2 int, known boolean")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, units (sorted) of the documents with repeats."""
+    key = F.when(F.col("known"), F.xxhash64("doc_id", "unit", "h1")).otherwise(F.col("h1"))
+    ranked = Window.partitionBy("key", "h2", "known").orderBy(F.col("doc_id").asc_nulls_last(), "unit")
+    later = units(docs).withColumn("key", key).withColumn("rank", F.rank().over(ranked)).where("known or rank > 1")
+    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "stop", "words", "edge"))).alias("units"))
+
+
+def removed(found: list[dict], run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> list[dict]:
+    """The spans that go, from a document's repeats in their order."""
+    out, stretch = [], []
+
+    def close():
+        if sum(u["words"] for u in stretch) >= run_words:
+            out.append({"start": stretch[0]["start"], "stop": stretch[-1]["stop"]})
+        else:
+            line: list[dict] = []
+            for u in stretch:
+                line = [u] if u["edge"] & 1 else [*line, u] if line else []
+                if line and u["edge"] & 2:
+                    if sum(x["words"] for x in line) >= line_words:
+                        out.append({"start": line[0]["start"], "stop": u["stop"]})
+                    line = []
+        stretch.clear()
+
+    for u in found:
+        if stretch and u["unit"] != stretch[-1]["unit"] + 1:
+            close()
+        stretch.append(u)
+    if stretch:
+        close()
+    return out
+
+
+def without_spans(text: str | None, spans: list[dict]) -> str | None:
+    """The text without the spans, each with the white space that follows it up
+    to the end of its line; a line that it filled goes with its line break."""
     if text is None or not spans:
         return text
     kept, at = [], 0
     for span in spans:
-        kept.append(text[at : span["start"]])
-        at = min(len(text), span["stop"] + len(separator))
-    kept.append(text[at:])
-    out = "".join(kept)
-    return out[: -len(separator)] if at == len(text) and out.endswith(separator) else out
-
-
-def unit_dedup(docs: DataFrame, *, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies of units cut out of text, plus n_removed and
-    removed_spans: struct(start, stop) in characters of the original text."""
-    spans = removed_spans(docs, separator, min_words).select(F.col("doc_id").alias("_of"), "spans", F.col("n_removed").alias("_n"))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
-    names = [c for c in docs.columns if c not in ("text", "n_removed", "removed_spans")]
-    place = joined.columns.index("text")
-    at = joined.columns.index("spans")
+        a, b = span["start"], span["stop"]
+        while b < len(text) and text[b] in " \t":
+            b += 1
+        if b < len(text) and text[b] == "\n" and (a == 0 or text[a - 1] == "\n"):
+            b += 1
+        kept.append(text[at:a])
+        at = max(at, b)
+    return "".join([*kept, text[at:]])
+
+
+def unit_dedup(docs: DataFrame, *, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """``docs`` with repeats cut out of text, plus n_removed and removed_spans:
+    struct(start, stop) in characters of the original text.
+
+    Units are shuffled once by digest, texts once by doc_id.
+    """
+    found = repeats(docs).select(F.col("doc_id").alias("_of"), "units")
+    typed = docs.withColumn("text", F.col("text").cast("string"))
+    joined = typed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left").select(*typed.columns, "units")
+    names = [c for c in docs.columns if c not in ("n_removed", "removed_spans")]
+    place = typed.columns.index("text")
+    kept = [typed.columns.index(c) for c in names]
 
     def run(batches):
         for batch in batches:
-            texts, spans = batch.column(place).to_pylist(), batch.column(at).to_pylist()
-            yield batch.set_column(place, "text", pa.array([without_spans(t, s or [], separator) for t, s in zip(texts, spans)], pa.string()))
-
-    typed = joined.withColumn("text", F.col("text").cast("string"))
-    cleaned = typed.mapInArrow(run, typed.schema)
-    return cleaned.select(*(c if c != "text" else "text" for c in docs.columns if c in [*names, "text"]), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("removed_spans"))
+            texts, every = batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            spans = [removed(x or [], run_words, line_words) for x in every]
+            cleaned = pa.array([without_spans(t, s) for t, s in zip(texts, spans)], pa.string())
+            columns = [cleaned if k == place else batch.column(k) for k in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], [*names, "n_removed", "removed_spans"])
+
+    schema = ", ".join([*(f"`{c}` {typed.schema[c].dataType.simpleString()}" for c in names), "n_removed long", f"removed_spans {_SPANS}"])
+    return joined.mapInArrow(run, schema)
