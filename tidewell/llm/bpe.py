@@ -21,6 +21,7 @@ import tempfile
 from array import array
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -328,7 +329,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, *, words: int = LEXICON
     def run(batches):
         encoder = _cached(("encoder", hash(data.value), hash(lexicon.value)), lambda: Encoder(data.value, lexicon.value))
         for batch in batches:
-            n, digests, decoded, same, every = [], [], [], [], []
+            n, digests, decoded, same, every = [], [], [], [], []  # every: ids as bytes, for with_ids
             for text in batch.column(1).to_pylist():
                 ids = encoder.encode(text or "")
                 back = encoder.decode(ids)
@@ -337,12 +338,13 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, *, words: int = LEXICON
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
                 same.append(back == (text or ""))
                 if with_ids:
-                    every.append(memoryview(ids).cast("I").tolist())
+                    every.append(ids)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
             if with_ids:
-                columns.append(pa.array(every, pa.list_(pa.int64())))
+                ends = np.r_[0, np.cumsum(n)].astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(every), np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<long>" * with_ids)
+    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids)

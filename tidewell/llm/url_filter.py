@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS, GRAMS, STEPS, PENALTY = 1 << 14, (3, 4), 60, 1e-3
+BUCKETS, GRAMS, STEPS, PENALTY = 1 << 14, (3, 4), 40, 2e-4
 #: Most rules, as they become one expression, and most labelled urls.
 MOST_RULES, MOST_LABELLED = 1000, 2000
 
@@ -99,7 +99,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel) -> Da
 
 
 #: The small labelled table: words that hosts and paths are named after.
-BLOCKED = ("casino-royal", "lucky-casino", "spam-mill", "bulk-spam", "cheap-meds", "cheap-tickets-pills", "pills-online", "adult-cams", "xx-adult", "ads-server", "ad-track", "click-tracker", "sports-bets", "free-slots", "bets-online", "malware-drop", "phish-login", "free-loans")
+BLOCKED = ("casino-royal", "lucky-casino", "spam-mill", "bulk-spam", "cheap-meds", "cheap-tickets-pills", "pills-online", "adult-cams", "xx-adult", "ads-server", "ad-track", "click-tracker", "sports-bets", "free-slots", "bets-online", "malware-drop", "phish-login", "free-loans", "spammer-hub", "spam-offers", "pill-shop", "pillstore", "the-casino", "ad-clicks")
 ALLOWED = ("blog", "news", "docs", "wiki", "library", "museum", "school", "science", "weather", "garden", "history", "recipes", "thereon", "station", "another", "lesson", "river", "thorn", "strand", "therapy", "the-times", "northern", "anthem", "sonnet", "heather", "tinder-box", "rather", "theory")
 PATHS = ("en/{}", "fr/{}.html", "de/{}/", "es/{}?page=2")
 
