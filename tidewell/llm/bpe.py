@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
+import re
 import struct
 import tempfile
 from array import array
@@ -33,7 +34,9 @@ LEXICON_WORDS, WORD_BYTES = 50_000, 48
 MEMO = 300_000
 #: Distinct pieces that a worker gathers before it hands counts on.
 GATHERED = 250_000
-LONG_PIECE = 512
+LONG_PIECE, NONE = 512, 1 << 30
+#: A word of Latin letters and marks after it: cut as the tokenizer would.
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
 
 def byte_characters() -> dict[str, int]:
@@ -154,55 +157,59 @@ class Merger:
         as_bytes = lambda token: bytes(map(to_byte.__getitem__, token))
         vocab = model["model"]["vocab"]
         self.ids = {as_bytes(t): i for t, i in vocab.items()}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
-        self.ranks = {(as_bytes(a), as_bytes(b)): r for r, (a, b) in enumerate(pairs)}
+        pairs = [tuple(map(as_bytes, m if isinstance(m, list) else m.split(" "))) for m in model["model"]["merges"]]
+        self.single = [self.ids[bytes([i])] for i in range(256)]
+        self.ranks = {self.ids[a] << 32 | self.ids[b]: r for r, (a, b) in enumerate(pairs)}
+        self.merged = [self.ids[a + b] for a, b in pairs]
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         self.table = {i: t for t, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.pre = Tokenizer.from_buffer(data).pre_tokenizer
 
     def merge(self, word: bytes) -> list[int]:
-        parts, ranks = [word[i : i + 1] for i in range(len(word))], self.ranks
-        if len(parts) > 64:
-            return self._merge_long(parts)
-        while len(parts) > 1:
-            best = min((ranks.get(p, 1 << 30) for p in zip(parts, parts[1:])))
-            if best == 1 << 30:
+        """The pair of lowest rank, leftmost first, until none is left."""
+        ids, rank, merged = list(map(self.single.__getitem__, word)), self.ranks.get, self.merged
+        if len(ids) > 256:
+            return self._merge_long(ids)
+        near = [rank(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
+        while near:
+            best = min(near)
+            if best == NONE:
                 break
-            i, out = 0, []
-            while i < len(parts):
-                if i + 1 < len(parts) and ranks.get((parts[i], parts[i + 1])) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.ids[p] for p in parts]
-
-    def _merge_long(self, parts: list[bytes]) -> list[int]:
+            i = near.index(best)
+            ids[i] = merged[best]
+            del ids[i + 1], near[i]
+            if i:
+                near[i - 1] = rank(ids[i - 1] << 32 | ids[i], NONE)
+            if i < len(near):
+                near[i] = rank(ids[i] << 32 | ids[i + 1], NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges from a heap, for words without an end in sight."""
         import heapq
 
-        n, ranks = len(parts), self.ranks
+        n, ranks = len(ids), self.ranks
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i] if alive[i] else -1
-            if j < 0 or parts[i] != a or parts[j] != b:
+            if j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            parts[i], alive[j], after[i] = a + b, False, after[j]
+            ids[i], alive[j], after[i] = self.merged[r], False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := ranks.get((parts[x], parts[y]))) is not None:
-                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
-        return [self.ids[p] for p, x in zip(parts, alive) if x]
+                if x >= 0 and y >= 0 and (q := ranks.get(ids[x] << 32 | ids[y])) is not None:
+                    heapq.heappush(heap, (q, x, ids[x], ids[y]))
+        return [k for k, x in zip(ids, alive) if x]
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own."""
+        if plain := _PLAIN.fullmatch(text):
+            return [w for w in plain.groups() if w]
         out = []
         while text:
             at, special = min(((i, s) for s in self.special if (i := text.find(s)) >= 0), default=(len(text), ""))
@@ -224,6 +231,7 @@ class Encoder:
         self.file.flush()
         self.lexicon = Transducer(mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ))
         self.first, self.rest = _Pieces(self, ""), _Pieces(self, " ")
+        self.known: dict[str, bytes] = {}
         self.hits = self.misses = 0
 
     def word(self, word: str) -> bytes:
@@ -234,8 +242,14 @@ class Encoder:
             self.hits += 1
             return found
         self.misses += 1
-        ids = self.merger.merge(key)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if (ids := self.known.get(word)) is None:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            found = self.merger.merge(key)
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(key) <= LONG_PIECE:
+                self.known[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if not text:
