@@ -235,20 +235,21 @@ class Encoder:
         self.hits = self.misses = 0
 
     def word(self, word: str) -> bytes:
+        if (ids := self.known.get(word)) is not None:
+            return ids
         if word in self.merger.special:
             return struct.pack("<I", self.merger.special[word])
         key = word.encode()
-        if (found := self.lexicon.get(key)) is not None:
+        if (ids := self.lexicon.get(key)) is not None:
             self.hits += 1
-            return found
-        self.misses += 1
-        if (ids := self.known.get(word)) is None:
-            if len(self.known) >= MEMO:
-                self.known.clear()
+        else:
+            self.misses += 1
             found = self.merger.merge(key)
             ids = struct.pack(f"<{len(found)}I", *found)
-            if len(key) <= LONG_PIECE:
-                self.known[word] = ids
+        if len(key) <= LONG_PIECE:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            self.known[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
