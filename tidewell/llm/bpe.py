@@ -35,8 +35,11 @@ MEMO = 300_000
 #: Distinct pieces that a worker gathers before it hands counts on.
 GATHERED = 250_000
 LONG_PIECE, NONE = 512, 1 << 30
-#: A word of Latin letters and marks after it: cut as the tokenizer would.
-_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+#: Words up to this many bytes are merged many at a time; characters of a block of texts.
+TOGETHER, BLOCK = 40, 4_000_000
+#: Texts of Latin letters, ASCII and its blanks are cut by a pattern, as the tokenizer would.
+_LATIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ]*").fullmatch
+_WORDS = re.compile("'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\\s+(?!\\S)|\\s+").findall
 
 
 def byte_characters() -> dict[str, int]:
@@ -64,6 +67,8 @@ class Transducer:
         self.first, self.target, self.adds, self.spans, self.ids = ints(states + 1), ints(arcs), ints(arcs), ints(words + 1), ints(ids)
         self.final, self.labels = at, at + states
         self.words, self.states = words, states
+        self.arcs = np.repeat(np.arange(states, dtype=np.int64) << 8, np.diff(np.asarray(self.first)))
+        self.arcs |= np.frombuffer(buffer, np.uint8, arcs, self.labels)
 
     def rank(self, word: bytes) -> int:
         """The word's place in sorted order, or -1."""
@@ -80,6 +85,26 @@ class Transducer:
         """The word's ids as little-endian 32-bit integers."""
         if (rank := self.rank(word)) < 0:
             return None
+        return self.at(rank)
+
+    def ranks(self, words: np.ndarray) -> np.ndarray:
+        """``rank`` of each row of a matrix of bytes: all walk at the same pace."""
+        out, row = np.full(len(words), -1), np.arange(len(words))
+        state, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        target, adds = np.asarray(self.target), np.asarray(self.adds)
+        for column in words.T:
+            if not len(row) or not len(self.arcs):
+                return out
+            key = state << 8 | column[row]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            there = self.arcs[arc] == key
+            row, arc, total = row[there], arc[there], total[there]
+            total, state = total + adds[arc], target[arc].astype(np.int64)
+        ends = np.frombuffer(self.buffer, np.uint8, self.states, self.final)[state] == 1
+        out[row[ends]] = total[ends]
+        return out
+
+    def at(self, rank: int) -> bytes:
         return self.ids[self.spans[rank] : self.spans[rank + 1]].tobytes()
 
 
@@ -162,8 +187,12 @@ class Merger:
         self.ranks = {self.ids[a] << 32 | self.ids[b]: r for r, (a, b) in enumerate(pairs)}
         self.merged = [self.ids[a + b] for a, b in pairs]
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
+        self.find_special = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
         self.table = {i: t for t, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.pre = Tokenizer.from_buffer(data).pre_tokenizer
+        keys = np.fromiter(self.ranks, np.int64, len(self.ranks))
+        self.order = np.argsort(keys)
+        self.keys, self.products = keys[self.order], np.array([*self.merged, NONE], np.int64)
 
     def merge(self, word: bytes) -> list[int]:
         """The pair of lowest rank, leftmost first, until none is left."""
@@ -184,6 +213,41 @@ class Merger:
                 near[i] = rank(ids[i] << 32 | ids[i + 1], NONE)
         return ids
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.order[at], NONE)
+
+    def merge_many(self, words: np.ndarray) -> list[bytes]:
+        """``merge`` of each row of a matrix of bytes, as little-endian 32-bit ids.
+
+        Each round makes one merge in every row that has one left, so that the
+        rows still at work are always of one length.
+        """
+        out, row = [b""] * len(words), np.arange(len(words))
+        ids = np.array(self.single, np.int64)[words]
+        near = self._ranks(ids[:, :-1], ids[:, 1:])
+        while len(row):
+            best = near.argmin(1) if near.shape[1] else np.zeros(len(row), np.int64)
+            rank = near[np.arange(len(row)), best] if near.shape[1] else np.full(len(row), NONE)
+            done = rank == NONE
+            if done.any():
+                width, flat = 4 * ids.shape[1], ids[done].astype("<u4").tobytes()
+                for k, i in enumerate(row[done].tolist()):
+                    out[i] = flat[k * width : (k + 1) * width]
+                row, ids, near, best, rank = row[~done], ids[~done], near[~done], best[~done], rank[~done]
+                if not len(row):
+                    break
+            n, length = ids.shape
+            ids[np.arange(n), best] = self.products[rank]
+            ids = ids[np.arange(length) != best[:, None] + 1].reshape(n, length - 1)
+            near = near[np.arange(length - 1) != best[:, None]].reshape(n, length - 2)
+            for side in (best - 1, best):
+                there = np.flatnonzero((side >= 0) & (side < length - 2))
+                at = side[there]
+                near[there, at] = self._ranks(ids[there, at], ids[there, at + 1])
+        return out
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges from a heap, for words without an end in sight."""
         import heapq
@@ -208,8 +272,8 @@ class Merger:
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own."""
-        if plain := _PLAIN.fullmatch(text):
-            return [w for w in plain.groups() if w]
+        if _LATIN(text) and not self.find_special(text):
+            return _WORDS(text)
         out = []
         while text:
             at, special = min(((i, s) for s in self.special if (i := text.find(s)) >= 0), default=(len(text), ""))
@@ -230,50 +294,81 @@ class Encoder:
         self.file.write(lexicon)
         self.file.flush()
         self.lexicon = Transducer(mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ))
-        self.first, self.rest = _Pieces(self, ""), _Pieces(self, " ")
+        self.first: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.hits = self.misses = 0
 
-    def word(self, word: str) -> bytes:
-        if (ids := self.known.get(word)) is not None:
-            return ids
-        if word in self.merger.special:
-            return struct.pack("<I", self.merger.special[word])
-        key = word.encode()
-        if (ids := self.lexicon.get(key)) is not None:
-            self.hits += 1
-        else:
-            self.misses += 1
-            found = self.merger.merge(key)
-            ids = struct.pack(f"<{len(found)}I", *found)
-        if len(key) <= LONG_PIECE:
-            if len(self.known) >= MEMO:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+    def _learn_words(self, words: set[str]) -> None:
+        """Ids of new words: those of one length walk and merge together."""
+        special, lengths = self.merger.special, {}
+        for word in words:
+            if word in special:
+                self.known[word] = struct.pack("<I", special[word])
+            else:
+                key = word.encode()
+                lengths.setdefault(len(key), []).append((word, key))
+        for length, group in lengths.items():
+            if length > TOGETHER:
+                for word, key in group:
+                    ids = self.merger.merge(key)
+                    self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
+                    self.misses += 1
+                continue
+            matrix = np.frombuffer(b"".join(key for _, key in group), np.uint8).reshape(-1, length)
+            ranks = self.lexicon.ranks(matrix)
+            unseen = np.flatnonzero(ranks < 0)
+            for i in np.flatnonzero(ranks >= 0).tolist():
+                self.known[group[i][0]] = self.lexicon.at(ranks[i])
+            for i, ids in zip(unseen.tolist(), self.merger.merge_many(matrix[unseen])):
+                self.known[group[i][0]] = ids
+            self.hits += len(group) - len(unseen)
+            self.misses += len(unseen)
+
+    def _learn(self, firsts: set[str], rests: set[str]) -> None:
+        """Ids of new pieces, by way of their words."""
+        new = [(self.first, p, self.merger.words(p)) for p in firsts]
+        new += [(self.rest, p, self.merger.words(" " + p)) for p in rests]
+        self._learn_words({w for _, _, words in new for w in words}.difference(self.known))
+        for memo, piece, words in new:
+            memo[piece] = self.known[words[0]] if len(words) == 1 else b"".join(map(self.known.__getitem__, words))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; what the block needs stays remembered until its end."""
+        for memo in (self.first, self.rest, self.known):
+            if len(memo) > MEMO:
+                memo.clear()
+        blocks = [pieces(text) if text else [] for text in texts]
+        firsts, rests = {b[0] for b in blocks if b}, set()
+        for block in blocks:
+            rests.update(set(block[1:]).difference(self.rest))
+        self._learn(firsts.difference(self.first), rests)
+        out = [self.first[b[0]] + b"".join(map(self.rest.__getitem__, b[1:])) if b else b"" for b in blocks]
+        for memo, used in ((self.first, firsts), (self.rest, rests)):
+            for piece in [p for p in used if len(p) > LONG_PIECE]:
+                del memo[piece]
+        for word in [w for w in self.known if len(w) > LONG_PIECE]:
+            del self.known[word]
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = pieces(text)
-        return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> str:
         table = self.merger.table
         return b"".join(map(table.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-class _Pieces(dict):
-    def __init__(self, encoder: Encoder, prefix: str):
-        self.encoder, self.prefix = encoder, prefix
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(map(self.encoder.word, self.encoder.merger.words(self.prefix + piece)))
-        if len(piece) <= LONG_PIECE:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = ids
-        return ids
+def in_blocks(texts: list[str | None]):
+    """Lists of neighbouring texts, of some ``BLOCK`` characters each."""
+    block, held = [], 0
+    for text in texts:
+        block.append(text or "")
+        held += len(block[-1])
+        if held >= BLOCK:
+            yield block
+            block, held = [], 0
+    yield block
 
 
 _CACHE: dict = {}
@@ -345,15 +440,15 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, *, words: int = LEXICON
         encoder = _cached(("encoder", hash(data.value), hash(lexicon.value)), lambda: Encoder(data.value, lexicon.value))
         for batch in batches:
             n, digests, decoded, same, every = [], [], [], [], []  # every: ids as bytes, for with_ids
-            for text in batch.column(1).to_pylist():
-                ids = encoder.encode(text or "")
-                back = encoder.decode(ids)
-                n.append(len(ids) // 4)
-                digests.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
-                same.append(back == (text or ""))
-                if with_ids:
-                    every.append(ids)
+            for block in in_blocks(batch.column(1).to_pylist()):
+                for text, ids in zip(block, encoder.encode_many(block)):
+                    back = encoder.decode(ids)
+                    n.append(len(ids) // 4)
+                    digests.append(hashlib.sha256(ids).hexdigest())
+                    decoded.append(hashlib.sha256(back.encode()).hexdigest())
+                    same.append(back == text)
+                    if with_ids:
+                        every.append(ids)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
             if with_ids:
