@@ -249,6 +249,14 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r["keep"] == r["good"] for r in got) / len(got) >= 0.9
 
 
+def test_quality_finds_few_words_in_long_texts(spark):
+    rows = [(i, prose(40 + 300 * (i % 5), 500 + i) + (" Vile" if i % 6 == 0 else ""), "s", "en") for i in range(240)]
+    docs = spark.createDataFrame([*rows, (1000, prose(30_000, 7) + " vile " + prose(100, 8), "s", "en"), (1001, prose(30_000, 9), "s", "en")], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(180)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["keep"] for r in quality.quality(docs, labels).collect()}
+    assert not got[1000] and got[1001] and all(got[i] == (i % 6 != 0) for i in range(180, 240))
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rows = [("big", "a", float(i % 2), 0.0) for i in range(400)] + [("good", "a", 0.0, 0.0) for _ in range(400)] + [("rare", "a", 1.0, 0.0)]
     offsets, rates = quality.site_offsets(spark.createDataFrame(rows, "host string, path string, low double, toxic double"))

@@ -1,7 +1,10 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
-Two logistic regressions (low quality; toxic) on a document's words and on the
-shape of its text give the document's own evidence. All labels are summed by
+Two logistic regressions give the document's own evidence. Low quality shows in
+a text as a whole: that one sees the shares of words, over the length, and the
+shape. Toxic is what holds telling words, be they few in a long text: that one
+sees whether a word is there at all, for the words that stand out in labelled
+documents far beyond chance, and no length enters. All labels are summed by
 path (source and language) and host (source): a path's rate shrinks towards its
 host's, the host's towards the global one, each with a strength fitted to the
 spread that the sites show beyond chance. The log-odds by which a path differs
@@ -27,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, BUCKETS, STEPS, L2 = 8000, 1 << 15, 150, 2e-5
+#: A telling word: documents at least, and deviations from the rate of the fault; their regression's steps and penalty.
+LEAST, DEVIATIONS, TELLING_STEPS, TELLING_L2 = 4, 4, 300, 1e-4
 SHAPES = 8
 _BETWEEN = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 _UPPER = bytes(range(0x41, 0x5B))
@@ -34,16 +39,16 @@ _MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) n
 MEMO = 300_000
 
 
-class _Buckets(dict):
+class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        self[word] = bucket = zlib.crc32(word) & (BUCKETS - 1)
-        return bucket
+        self[word] = h = zlib.crc32(word)
+        return h
 
 
-def features(text: str | None, buckets: dict) -> tuple[list[int], list[float]]:
-    """The buckets of a text's words, and numbers for its shape."""
+def features(text: str | None, hashes: dict) -> tuple[list[int], list[float]]:
+    """The 32-bit hashes of a text's distinct words, and numbers for its shape."""
     raw = (text or "").encode()
     words = raw.lower().translate(_BETWEEN).split()
     distinct = set(words)
@@ -59,13 +64,13 @@ def features(text: str | None, buckets: dict) -> tuple[list[int], list[float]]:
         float(np.log1p(len(words)) / 10),
         min(1.0, raw.count(b".") / n * 5),
     ]
-    return sorted({buckets[w] for w in distinct}), shape
+    return sorted({hashes[w] for w in distinct}), shape
 
 
 def fit(rows: list[tuple[list[int], list[float]]], y: np.ndarray) -> np.ndarray:
-    """Weights of words, shapes and a constant (Adam, full batch)."""
+    """Weights of buckets of words, shapes and a constant (Adam, full batch)."""
     lens = np.array([len(b) for b, _ in rows])
-    flat = np.fromiter((x for b, _ in rows for x in b), np.int64, int(lens.sum()))
+    flat = np.fromiter((x for b, _ in rows for x in b), np.int64, int(lens.sum())) & (BUCKETS - 1)
     doc = np.repeat(np.arange(len(rows)), lens)
     scale = (1 / np.sqrt(np.maximum(1, lens)))[doc]
     shape = np.column_stack([np.array([s for _, s in rows]), np.ones(len(rows))])
@@ -81,6 +86,28 @@ def fit(rows: list[tuple[list[int], list[float]]], y: np.ndarray) -> np.ndarray:
     return w
 
 
+def fit_telling(rows: list[tuple[list[int], list[float]]], y: np.ndarray) -> tuple[dict[int, float], float]:
+    """Weights of telling words by hash, and a constant (Adam, full batch)."""
+    lens = np.array([len(b) for b, _ in rows])
+    words, flat = np.unique(np.fromiter((x for b, _ in rows for x in b), np.int64, int(lens.sum())), return_inverse=True)
+    doc, rate = np.repeat(np.arange(len(rows)), lens), y.mean()
+    n, bad = np.bincount(flat, minlength=len(words)), np.bincount(flat, y[doc], len(words))
+    beyond = np.abs(bad - n * rate) / np.sqrt(np.maximum(1e-9, n * rate * (1 - rate) * (1 - n / len(rows))))
+    telling = np.flatnonzero((beyond > DEVIATIONS) & (n >= LEAST))
+    place = np.full(len(words), -1)
+    place[telling] = np.arange(len(telling))
+    there = place[flat] >= 0
+    flat, doc = place[flat][there], doc[there]
+    w, m, s = np.append(np.zeros(len(telling)), np.log(rate / (1 - rate))), 0, 0
+    for step in range(1, TELLING_STEPS + 1):
+        z = np.bincount(doc, w[flat], len(rows)) + w[-1]
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
+        g = np.append(np.bincount(flat, e[doc], len(telling)) + TELLING_L2 * w[:-1], e.sum())
+        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    return dict(zip(words[telling].tolist(), w.tolist())), float(w[-1])
+
+
 def shrunk(bad: Column, n: Column, prior: Column, strength: Column) -> Column:
     return (bad + strength * prior) / (n + strength)
 
@@ -128,29 +155,31 @@ def quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Data
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def gather(batches):
-        buckets = _Buckets()
+        hashes = _Hashes()
         for batch in batches:
-            found = [features(x, buckets) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["words", "shape", "low", "toxic"])
+            found = [features(x, hashes) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.list_(pa.int64())), pa.array([s for _, s in found], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["words", "shape", "low", "toxic"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("text", "low", "toxic").mapInArrow(gather, "words array<int>, shape array<double>, low double, toxic double").toArrow().to_pydict()
+    rows = texts.select("text", "low", "toxic").mapInArrow(gather, "words array<long>, shape array<double>, low double, toxic double").toArrow().to_pydict()
     seen: dict = {}  # copies of one text count once
     for words, shape, low, toxic in zip(*(rows[c] for c in ("words", "shape", "low", "toxic"))):
         seen[(tuple(words), tuple(shape))] = (low, toxic)
-    models = []
-    for k, fault in enumerate(("low", "toxic")):
-        y = np.array([v[k] for v in seen.values()])
-        models.append(fit(list(seen), y) if len(y) and 0 < y.mean() < 1 else np.r_[np.zeros(BUCKETS + SHAPES), -30.0 if not len(y) or y.mean() == 0 else 30.0])
-    sent = spark.sparkContext.broadcast(np.array(models))
+    y = np.array([*seen.values()]).reshape(-1, 2)
+    sure = [None if len(y) and 0 < m < 1 else 30.0 if len(y) and m else -30.0 for m in (y.mean(0) if len(y) else (0, 0))]
+    low = fit(list(seen), y[:, 0]) if sure[0] is None else np.r_[np.zeros(BUCKETS + SHAPES), sure[0]]
+    telling, constant = fit_telling(list(seen), y[:, 1]) if sure[1] is None else ({}, sure[1])
+    sent = spark.sparkContext.broadcast((low, telling, constant))
 
     def score(batches):
-        buckets, w = _Buckets(), sent.value
+        hashes, (w, telling, constant) = _Hashes(), sent.value
+        words = set(telling)
         for batch in batches:
             out = np.empty((batch.num_rows, 2))
             for i, text in enumerate(batch.column(1).to_pylist()):
-                b, s = features(text, buckets)
-                out[i] = w[:, b].sum(1) / max(1, len(b)) ** 0.5 + w[:, BUCKETS:-1] @ s + w[:, -1]
+                b, s = features(text, hashes)
+                out[i, 0] = w[np.array(b, np.int64) & (BUCKETS - 1)].sum() / max(1, len(b)) ** 0.5 + w[BUCKETS:-1] @ s + w[-1]
+                out[i, 1] = constant + sum(telling[h] for h in sorted(words.intersection(b)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out[:, 0]), pa.array(out[:, 1])], ["doc_id", "host", "path", "z_low", "z_toxic"])
 
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), host.alias("host"), path.alias("path"))
