@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import pieces
+from tidewell.llm.common import cut, pieces
 
 #: Most words in the lexicon and most bytes of one: its size is bounded by both.
 LEXICON_WORDS, WORD_BYTES = 50_000, 48
@@ -387,7 +387,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, data, words: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent words of all texts, counted before they are shuffled."""
+    """The most frequent words of all texts, counted before they are shuffled.
+
+    Counts fall into classes, 16 to a doubling (about 1000 at most); all words of
+    the highest classes that together hold no more than ``words`` are taken, so
+    that no partition sends a list of its own to the driver. Words seen once stay
+    out.
+    """
 
     def count(batches):
         merger = _cached(("merger", hash(data.value)), lambda: Merger(data.value))
@@ -415,7 +421,14 @@ def frequent_words(docs: DataFrame, data, words: int = LEXICON_WORDS) -> list[by
         yield counted([*((("", p), n) for p, n in first.items()), *(((" ", p), n) for p, n in rest.items())])
 
     counts = _texts(docs).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+    counts = cut(counts.where("n > 1").select("word", F.floor(16 * F.log2("n")).alias("class")))
+    held, least = 0, None
+    for found in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        held += found[1]
+        if held > words:
+            break
+        least = found[0]
+    return [bytes(r.word) for r in counts.where(F.col("class") >= least).collect()] if least is not None else []
 
 
 def build_lexicon(docs: DataFrame, data, words: int = LEXICON_WORDS) -> bytes:
