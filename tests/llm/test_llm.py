@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidewell.llm import bpe, chat_format, common, components, decontaminate, quality, queries, simhash, suffix_index, token_counts, unit_dedup, url_filter, vector_dedup
+from tidewell.llm import bpe, chat_format, common, components, decontaminate, quality, queries, shingle_dedup, simhash, suffix_index, token_counts, unit_dedup, url_filter, vector_dedup
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -143,6 +143,38 @@ def test_simhash_links_lose_nothing(spark):
     assert slow_components(ids, found) == want
 
 
+def slow_shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def edited(words, n, rng):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"edit{rng.getrandbits(30)}"
+    return words
+
+
+def test_near_dedup_stage_removes_edited_copies(spark, odd):
+    rng = random.Random(11)
+    texts = []
+    for i in range(24):
+        base = prose(230, 700 + i).split()
+        texts += [" ".join(base), " ".join(edited(base, i % 8 + 1, rng))]
+    chain = [prose(230, 800).split()]
+    for _ in range(50):
+        chain.append(edited(chain[-1], 2, rng))
+    star = prose(230, 801).split()
+    texts += [" ".join(w) for w in chain] + [" ".join(edited(star, 4, rng)) for _ in range(40)] + [" ".join(star), "a b", "A  b", "a c", "", None]
+    sets = [slow_shingles(t) for t in texts]
+    near = lambda x, y: not x and not y or len(x & y) / len(x | y) >= 0.8
+    want = slow_components(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if near(sets[a], sets[b])])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()]
+    assert sorted(got) == sorted(set(want.values()))
+    assert shingle_dedup.one_of_each(odd).where("doc_id is null").count() == 1
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(60).selectExpr("id as a", "id + 1 as b").union(spark.range(3).selectExpr("100 as a", "id + 101 as b"))
     roots = components.component_roots(chain, "a", "b").collect()

@@ -1,0 +1,151 @@
+"""Near copies by the Jaccard similarity of their word shingles.
+
+A text is the set of its shingles of ``words_each`` words (the whole text where
+it has fewer). Equal sets are one node. Two nodes are linked if their sets have
+a similarity of ``least`` or more, which is counted on the sets themselves.
+Candidates come from MinHash: ``BANDS`` bands of ``BAND_ROWS`` minima each, and
+nodes with the same minima in a band share a bucket. A pair of similarity s
+shares none with probability (1 - s^5)^30: 7 in a million at 0.8, less above.
+
+Within a bucket, not all pairs are compared. For ``ROUNDS`` rounds, each node is
+compared with one node of the bucket, another one each time, and nodes that are
+connected by then need no more comparing; what is left of a bucket after that,
+in different components, is compared pair by pair. So whatever the buckets
+connect is connected, and a large group of near copies costs a few comparisons
+for each member.
+
+Defined results: texts without words are copies of each other; rows with a null
+doc_id can't be told apart and stay; of repeated rows one stays; an empty table
+gives an empty table; other columns are left alone.
+"""
+
+from __future__ import annotations
+
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewell.llm.common import cut
+from tidewell.llm.components import component_roots
+
+SHINGLE_WORDS, LEAST, SEED = 5, 0.8, 42
+BANDS, BAND_ROWS, ROUNDS = 30, 5, 3
+#: Shingles that are permuted at once, so that very long texts need little memory.
+BLOCK = 4096
+_RANDOM = np.random.default_rng(SEED)
+_TIMES = _RANDOM.integers(1, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64)
+
+
+def shingle_set(text: str | None, words_each: int = SHINGLE_WORDS) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's word shingles."""
+    words = (text or "").encode().lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= words_each:
+        return np.array([digest(joined, SEED)] if words else [], np.uint64)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends[:-1]]
+    return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[words_each - 1 :])], np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One signed key for each band; none for an empty set."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), BLOCK):
+        # The high half of a product depends on all bits below it.
+        mixed = shingles[at : at + BLOCK] * _TIMES + _PLUS
+        least = np.minimum(least, (mixed >> np.uint64(32)).min(1))
+    rows = least.astype(np.uint32).reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def node_of(shingles: np.ndarray) -> int:
+    """A signed number that equal sets share."""
+    n = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def nodes(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, node, size of its set and band keys of every row."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(x, words_each) for x in batch.column(1).to_pylist()]
+            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "size", "bands"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, size long, bands array<long>")
+
+
+def sets_of(docs: DataFrame, words_each: int) -> DataFrame:
+    """node and set of the rows, each node once."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(x, words_each) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return _texts(docs).mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def links(entries: DataFrame, sets: DataFrame, least: float, rounds: int = ROUNDS) -> DataFrame | None:
+    """Pairs a, b enough to connect all that share a bucket and are similar.
+
+    ``entries`` has key (a bucket of two nodes or more), node and size.
+    """
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"))
+    found = tested = None
+    left = entries.withColumn("root", F.col("node"))
+    for turn in range(rounds + 1):
+        mixed = left.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("node", "size", "root"), F.struct(F.xxhash64("node", "key", F.lit(turn)), "node")).alias("c"))
+        mixed = mixed.where("r0 <> r1").select("key", "c")
+        if turn < rounds:
+            met = left.join(mixed, "key").where("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), "size", F.col("c.size").alias("other"))
+        else:
+            open_ = left.join(mixed.select("key"), "key")
+            other = open_.select("key", F.col("node").alias("b"), F.col("size").alias("other"), F.col("root").alias("to"))
+            met = open_.withColumnRenamed("node", "a").join(other, "key").where("a < b and root <> to")
+        # A set that is too small can't be similar, whatever it holds.
+        pairs = met.where(F.least("size", "other") / F.greatest("size", "other") >= F.lit(least)).select("a", "b").distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            both = F.size(F.array_intersect("sa", "sb"))
+            good = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(both / (F.size("sa") + F.size("sb") - both) >= F.lit(least)).select("a", "b"))
+            found, tested = (good, pairs) if found is None else (found.union(good), tested.union(pairs))
+            if turn < rounds:
+                roots = component_roots(found, "a", "b")
+                left = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+                spread = left.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+                left = cut(left.join(spread, "key"))
+        if left.isEmpty():
+            break
+    return found
+
+
+def one_of_each(docs: DataFrame, *, words_each: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:
+    """The row with the smallest doc_id of each group of near copies."""
+    known = docs.where("doc_id is not null")
+    rows = cut(nodes(known, words_each))
+    distinct = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    keyed = distinct.select("node", "size", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    entries = cut(keyed.join(shared, "key"))
+    asked = entries.select("node").distinct()
+    sets = cut(sets_of(known.join(distinct.join(asked, "node").select("doc_id").distinct(), "doc_id", "left_semi"), words_each).join(asked, "node", "left_semi"))
+    found = links(entries, sets, least)
+    rooted = distinct.select("node", "doc_id", F.col("node").alias("root"))
+    if found is not None:
+        rooted = distinct.select("node", "doc_id").join(component_roots(found, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keep = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    kept = known.join(keep, known["doc_id"].cast("long") == keep["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
