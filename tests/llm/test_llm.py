@@ -375,6 +375,16 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.without_contaminated(odd, bench).count() == odd.count()
 
 
+def test_decontamination_finds_heavily_edited_leaks(spark):
+    alone, both = prose(60, 45).split(), prose(60, 46).split()
+    cut_up = lambda ws: " ".join(w if i % 4 else f"other{i}" for i, w in enumerate(ws))
+    docs = spark.createDataFrame([(1, cut_up(alone)), (2, " ".join(both)), (3, prose(50, 47) + " " + cut_up(both))], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, " ".join(alone)), (20, " ".join(both))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == {(1, 10), (2, 20), (3, 20)}
+    assert got[1, 10] == slow_align(alone, cut_up(alone).split()) / 120
+
+
 def vectors_with_copies(seed, n=1200, dim=16):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dim)).astype(np.float32)

@@ -1,12 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 Texts are compared as words: lower case, ASCII punctuation and white space
-between them. Every n-gram of a test item is counted over all training texts;
-the rarest ``share`` of each item's n-grams are its seeds, so that an item that
-leaked a thousand times keeps seeds as well. Where a seed occurs, the text
-around it is aligned with the item (Smith-Waterman: +2 for the same word, -1
-for another or a missing one). The score is the best alignment's over that of
-the item with itself; from ``threshold`` on, the text is contaminated.
+between them. Every n-gram of a test item is counted over all training texts.
+Those that occur are its seeds: the rarest ``share`` of them, and the others as
+well, since an edited copy may hold none but n-grams that exact copies made
+common. N-grams that no text holds take no place among them. Where a seed
+occurs, the text around it is aligned with the item (Smith-Waterman: +2 for the
+same word, -1 for another or a missing one). The score is the best alignment's
+over that of the item with itself; from ``threshold`` on, the text is
+contaminated. A stretch of text that holds too few of the item's words to reach
+the threshold, whatever their order, is not aligned; that loses nothing.
 
 The benchmark goes to every worker in blocks of ``BLOCK_WORDS`` words at most,
 each with its own pass over the texts, so that what is broadcast is bounded.
@@ -86,35 +89,42 @@ class Seeds:
         hit = self.grams[spot] == codes[at]
         return ids, at[hit], codes[at][hit]
 
-    def keep_rarest(self, counts: dict[int, int], share: float) -> None:
-        kept: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    def rank(self, counts: dict[int, int], share: float) -> None:
+        """Keep the n-grams that occur; mark the rarest ``share`` of an item's."""
+        kept: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
         for i, (_, codes) in enumerate(self.items):
-            grams = sorted(((counts.get(int(g), 0), j, int(g)) for j, g in enumerate(self.coded(codes))))
-            for _, j, g in grams[: -(-int(len(grams) * share * 100) // 100)]:
-                kept[g].append((i, j))
+            grams = sorted((counts[int(g)], j, int(g)) for j, g in enumerate(self.coded(codes)) if int(g) in counts)
+            rare = -(-int(len(grams) * share * 100) // 100)
+            for nth, (_, j, g) in enumerate(grams):
+                kept[g].append((i, j, nth < rare))
         self.at, self.grams = kept, np.array(sorted(kept), np.int64)
 
     def matches(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int]]:
         """item_id, score, first and last word (exclusive) of what matches."""
         ids, places, codes = self.found(text)
-        windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        windows: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
         for p, g in zip(places.tolist(), codes.tolist()):
-            for i, j in self.at[g]:
+            for i, j, rare in self.at[g]:
                 m = len(self.items[i][1])
-                windows[i].append((max(0, p - j - m), min(len(ids), p - j + 2 * m)))
+                windows[i].append((max(0, p - j - m), min(len(ids), p - j + 2 * m), rare))
         out = []
         for i, spans in windows.items():
             (item, codes_i), best = self.items[i], (0.0, 0, 0)
-            merged: list[list[int]] = []
-            for a, b in sorted(spans):
+            merged: list[list] = []
+            for a, b, rare in sorted(spans):
                 if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
+                    merged[-1][1:] = max(b, merged[-1][1]), rare or merged[-1][2]
                 else:
-                    merged.append([a, b])
-            for a, b in merged:
+                    merged.append([a, b, rare])
+            # Rare seeds first: what they reach spares the others' alignment.
+            for a, b, _ in sorted(merged, key=lambda w: not w[2]):
+                most = np.isin(codes_i, ids[a:b]).sum() / len(codes_i)
+                if most < max(threshold, best[0]) or (most == best[0] and a > best[1]):
+                    continue
                 score, end = align(codes_i, ids[a:b])
-                if score / (2 * len(codes_i)) > best[0]:
-                    best = (score / (2 * len(codes_i)), a, a + end)
+                score /= 2 * len(codes_i)
+                if score > best[0] or (score == best[0] and a < best[1]):
+                    best = (score, a, a + end)
             if best[0] >= threshold:
                 _, back = align(codes_i[::-1], ids[best[1] : best[2]][::-1])
                 out.append((item, best[0], best[2] - back, best[2]))
@@ -159,12 +169,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEE
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
         counts = dict(rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect())
-        seeds.keep_rarest(counts, share)
-        rare = spark.sparkContext.broadcast(seeds)
+        seeds.rank(counts, share)
+        ranked = spark.sparkContext.broadcast(seeds)
 
-        def match(batches, rare=rare):
+        def match(batches, ranked=ranked):
             for batch in batches:
-                found = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in rare.value.matches(text, threshold)]
+                found = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in ranked.value.matches(text, threshold)]
                 columns = list(zip(*found)) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
