@@ -410,6 +410,24 @@ def test_vector_groups(spark):
     assert n and recall >= 0.9
 
 
+def test_vector_groups_of_tight_sub_groups(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    ways = [w / np.linalg.norm(w) * np.linalg.norm(centre) for w in rng.normal(size=(5, 64))]
+    tight = [centre + 0.08 * w + rng.normal(size=64) * 0.005 for w in ways for _ in range(100)]
+    x = np.array([*tight, *rng.normal(size=(200, 64))], np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    u = vector_dedup.unit_rows(x)
+    near = u @ u.T >= 0.98
+    assert near[:500, :500].all()
+    found = {r["vec_id"]: r for r in vector_dedup.vector_groups(df).collect()}
+    assert [found[i]["n_links"] for i in range(len(x))] == (near.sum(1) - 1).tolist()
+    assert {found[i]["component_id"] for i in range(500)} == {0}
+    split = vector_dedup.vector_groups(df, shard=100)
+    assert vector_dedup.audited_recall(df, split, every=7)[0] >= 0.95
+    assert all(r["n_links"] <= near[r["vec_id"]].sum() - 1 for r in split.collect())
+
+
 def test_vectors_that_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, None, 1, 5), (1, [], 1, 5), (2, [0.0, 0.0], 1, 5), (3, [1.0, None], 1, 5), (4, [nan, 1.0], 1, 5), (5, [inf, 1.0], 1, 5), (6, [1.0, 2.0], None, 5), (7, [1.0, 2.0], 1, 5), (8, [2.0, 4.0], 1, 5), (9, [1.0, 2.0], 2, 5), (10, [1.0, 2.0, 0.0], 1, 5), (7, [1.0, 2.0], 1, 5), (None, [5.0, 1.0], 1, 5)]

@@ -5,16 +5,14 @@ label are dealt to cluster shards, each node to its nearest centres; centres are
 fitted to a sample of ``SAMPLE`` vectors at most, every vector is indexed. Each
 shard builds a flat graph: a node's nearest nodes, pruned so that a neighbour
 goes if another kept one is much closer to it. The adjacency lists of all shards
-are united. Every node then searches its home shard: greedily from the shard's
-medoid, then outwards from what it found and from its own place, through all
-nodes within the range. What is reached is verified by cosine in double
-precision. A link that pruning left out leads through closer nodes, which are
-within the range as well, so that what a search can miss are links to nodes of
-other shards.
+are united. Links along the graph join most of a group of near copies; since a
+pruned list can end within a tight sub-group, the nodes of a shard are compared
+exactly as well, a block of queries at a time, in double precision. So all links
+between nodes that share a shard are found; what can be missed are links of nodes
+that share none.
 
-Links within a shard are counted where they are found; for components, they
-are reduced to a spanning forest there. Only links across shards are handed on
-as pairs, so that each side counts them.
+A link is counted in the first shard that both its nodes are in, and only the
+counts leave the shard. For components, links are reduced to a spanning forest.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a
 non-finite number, and vectors without a label, link with nothing; vectors of
@@ -37,6 +35,8 @@ THRESHOLD, SHARD, OVERLAP = 0.98, 800, 3
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 #: Most vectors that centres are fitted to, and most centres for a label.
 SAMPLE, CENTRES = 40_000, 512
+#: Queries that are compared at once with all nodes of their shard.
+QUERIES = 512
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -81,28 +81,58 @@ def pruned(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, al
     return out
 
 
-def search(x: np.ndarray, lists: list[np.ndarray], query: int, medoid: int, threshold: float) -> np.ndarray:
-    """Nodes within ``threshold`` of a node that is in the graph itself."""
-    q, at = x[query], medoid
-    here = x[at] @ q
-    while len(lists[at]):  # greedy
-        near = x[lists[at]] @ q
-        j = int(near.argmax())
-        if near[j] <= here:
-            break
-        at, here = int(lists[at][j]), near[j]
-    seen = {query, at}
-    found, front = ([at] if here >= threshold and at != query else []), [query, *([at] if here >= threshold and at != query else [])]
-    while front:  # outwards, while the range goes on
-        nodes = lists[front.pop()]
-        fresh = [int(v) for v in nodes if int(v) not in seen]
-        if fresh:
-            seen.update(fresh)
-            for v, s in zip(fresh, x[fresh] @ q):
-                if s >= threshold:
-                    found.append(v)
-                    front.append(v)
-    return np.array(sorted(found), np.int64)
+def counted(x: np.ndarray, of: np.ndarray, copies: np.ndarray, here: int, threshold: float) -> np.ndarray:
+    """How many vectors each node links with, of the links that count here.
+
+    All nodes are compared, a block of queries at a time. ``of`` has the shards
+    of each node; a link counts in the first shard that both its nodes are in.
+    """
+    out = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), QUERIES):
+        close = x[at : at + QUERIES] @ x.T >= threshold
+        close[np.arange(len(close)), at + np.arange(len(close))] = False
+        for i in np.flatnonzero(close.any(1)):
+            js = np.flatnonzero(close[i])
+            for s in of[at + i]:
+                if s < here:
+                    js = js[(of[js] != s).all(1)]
+            out[at + i] = copies[js].sum()
+    return out
+
+
+def forest(x: np.ndarray, lists: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that connect whatever is connected: along the graph, then exactly.
+
+    The graph's links join most of a group. What they leave apart is compared
+    with all nodes of the other components, so that no link is missed.
+    """
+    parent = np.arange(len(x))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+
+    def join(i, js):
+        for j in js:
+            a, b = root(i), root(j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((i, int(j)))
+
+    for i, near in enumerate(lists):
+        join(i, near[x[near] @ x[i] >= threshold] if len(near) else near)
+    roots = np.array([root(i) for i in range(len(x))], np.int64)
+    for at in range(0, len(x), QUERIES):
+        close = x[at : at + QUERIES] @ x.T >= threshold
+        close &= roots[at : at + QUERIES, None] != roots[None]
+        for i in np.flatnonzero(close.any(1)):
+            js = np.flatnonzero(close[i])
+            join(int(at + i), js[np.unique(roots[js], return_index=True)[1]])
+    return out
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -142,7 +172,7 @@ def _centres(reps: DataFrame, shard: int) -> dict[tuple, np.ndarray]:
 
 
 def shards(reps: DataFrame, centres, overlap: int) -> DataFrame:
-    """A row of each node for each of its shards; home: the nearest one."""
+    """A row of each node for each of its shards, with the list of them all."""
 
     def run(batches):
         for batch in batches:
@@ -150,26 +180,26 @@ def shards(reps: DataFrame, centres, overlap: int) -> DataFrame:
             groups: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(labels, dims)):
                 groups.setdefault(key, []).append(i)
-            rows, where, home = [], [], []
+            rows, where, lists = [], [], []
             for key, members in groups.items():
                 c = centres.value.get(key)
                 if c is None:
                     rows += members
                     where += [0] * len(members)
-                    home += [True] * len(members)
+                    lists += [[0]] * len(members)
                     continue
                 near = unit_rows(_matrix(batch.column(4).take(pa.array(members)), key[1])) @ c.T
                 best = np.argsort(-near, 1, kind="stable")[:, :overlap]
                 for nth in range(best.shape[1]):
                     rows += members
                     where += best[:, nth].tolist()
-                    home += [nth == 0] * len(members)
+                    lists += best.tolist()
             if rows:
                 taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(where, pa.int32()), pa.array(home, pa.bool_())], [*batch.schema.names, "shard", "home"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(where, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names, "shard", "shards"])
 
     rows = reps.select("label", "dim", "node", "copies", F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(run, "label int, dim int, node long, copies long, embedding array<double>, shard int, home boolean")
+    return rows.mapInArrow(run, "label int, dim int, node long, copies long, embedding array<double>, shard int, shards array<int>")
 
 
 def vector_groups(vectors: DataFrame, *, threshold: float = THRESHOLD, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
@@ -192,49 +222,25 @@ def vector_groups(vectors: DataFrame, *, threshold: float = THRESHOLD, shard: in
     def walk(table: pa.Table) -> pa.Table:
         ids = table["node"].to_numpy()
         order = np.argsort(ids)
-        ids, home, copies = ids[order], table["home"].to_numpy()[order], table["copies"].to_numpy()[order]
+        ids, here, copies = ids[order], table["shard"][0].as_py(), table["copies"].to_numpy()[order]
         x = unit_rows(_matrix(table["embedding"], table["dim"][0].as_py()))[order]
+        of = _matrix(table["shards"], len(table["shards"][0])).astype(np.int32)[order]
         near = table["near"].take(pa.array(order)).to_pylist()
         lists = []
         for v in near:
             spot = np.searchsorted(ids, v := np.array(v or [], np.int64))
             spot = np.minimum(spot, len(ids) - 1)
             lists.append(spot[ids[spot] == v])
-        medoid = int((x @ x.sum(0)).argmax())
-        links, parent = [set() for _ in ids], list(range(len(ids)))
-        cross = []
-        for i in np.flatnonzero(home):
-            for j in search(x, lists, int(i), medoid, threshold).tolist():
-                if home[j]:
-                    links[i].add(j)
-                    links[j].add(int(i))
-                else:
-                    cross.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        rows = [(a, b, None) for a, b in cross]
-        for i in np.flatnonzero(home):
-            if links[i]:
-                rows.append((ids[i], None, int(copies[list(links[i])].sum())))
-                for j in links[i]:
-                    a, b = root(int(i)), root(j)
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                        rows.append((ids[i], ids[j], -1))
-        a, b, n = zip(*rows) if rows else ((), (), ())
+        linked = counted(x, of, copies, here, threshold)
+        tree = forest(x, lists, threshold)
+        some = np.flatnonzero(linked)
+        a = [*ids[some], *(ids[i] for i, _ in tree)]
+        b = [*[None] * len(some), *(ids[j] for _, j in tree)]
+        n = [*linked[some], *[None] * len(tree)]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
     found = cut(dealt.join(united, "node").groupBy("label", "dim", "shard").applyInArrow(walk, "a long, b long, n long"))
-    cross = found.where("n is null").select("a", "b").distinct()
-    known = reps.select("node", "copies")
-    both = cross.union(cross.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = both.join(known.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("copies").alias("n"))
-    counts = found.where("b is null").select("a", "n").union(across).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     roots = component_roots(found.where("b is not null").select("a", "b"), "a", "b")
     smallest = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     named = roots.join(smallest, "root").select("node", "component_id")
