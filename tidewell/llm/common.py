@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,6 +38,30 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def keyed(docs: DataFrame, every: bool = False) -> DataFrame:
+    """_id (doc_id), _digest and _text of the rows: what a row is known by.
+
+    One doc_id may stand on several texts, so that the text's 64-bit digest is
+    part of the key. ``every`` keeps the columns of ``docs`` as well.
+    """
+    key = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_digest")]
+    return docs.select("*", *key) if every else docs.select(*key, F.col("text").cast("string").alias("_text"))
+
+
+def tidied(run):
+    """``run`` (of mapInArrow), giving freed memory back when its task ends, so
+    that a reused worker does not keep the most that any task needed."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 #: A blank with no white space after it. Python's white space contains all of
 #: the tokenizers' white space, so a cut here is a cut between their words.
 _CUT = re.compile(r" (?=\S)")
