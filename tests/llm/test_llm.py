@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidewell.llm import bpe, chat_format, common, components, decontaminate, quality, queries, shingle_dedup, simhash, suffix_index, token_counts, unit_dedup, url_filter, vector_dedup
+from tidewell.llm import bpe, chat_format, common, components, decontaminate, quality, queries, simhash, suffix_index, token_counts, unit_dedup, url_filter, vector_dedup
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,6 +99,26 @@ def test_bpe(spark, odd, empty, library):
     assert bpe.bpe_round_trip(empty, PATH, words=50).count() == 0
 
 
+def test_encoding_of_blocks_and_very_long_texts(spark, library):
+    with open(PATH, "rb") as f:
+        encoder = bpe.Encoder(f.read(), bpe.compile_lexicon({}))
+    texts = random_texts(300, 4) + ["", " ", "don't'll 's ''s 5'm'r", "a\u3000 b", "×÷ ß"]
+    data = [t.encode() for t in texts]
+    ids, at = encoder.encode_block(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(x) for x in data])))
+    for text, a, b in zip(texts, at, at[1:]):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+    long = [prose(260_000, 60), "x" * (bpe.BLOCK + 100_000) + " end", "é " * 700_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*long, "short", None])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.bpe_round_trip(docs, PATH, words=50, with_ids=True).collect()}
+    assert all(len(t.encode()) > bpe.BLOCK for t in long)
+    for i in (0, 2):
+        assert got[i]["ids"] == library.encode(long[i], add_special_tokens=False).ids
+    for i, text in enumerate([*long, "short", ""]):
+        assert got[i]["round_trip"] and got[i]["n_tokens"] == len(got[i]["ids"])
+        assert got[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(got[i]["ids"], np.uint32).tobytes()).hexdigest()
+
+
 def slow_fingerprint(text):
     lowered = (text or "").translate({i: i + 32 for i in range(65, 91)})
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
@@ -172,7 +192,7 @@ def test_near_dedup_stage_removes_edited_copies(spark, odd):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()]
     assert sorted(got) == sorted(set(want.values()))
-    assert shingle_dedup.one_of_each(odd).where("doc_id is null").count() == 1
+    assert simhash.one_of_each(odd).where("doc_id is null").count() == 1
 
 
 def test_components_of_a_chain(spark):

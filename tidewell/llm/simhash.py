@@ -2,19 +2,33 @@
 
 Fingerprints of 64 bits are eight positional bytes. Two that differ in ``bits``
 bits (4 at most) share at least ``8 - bits`` of them; that is the guaranteed
-count. A posting list of one byte value would hold 1/256 of all rows, so the
-lists are kept intersected: for each choice of that many positions, the list of
-the fingerprints with the same bytes there. Rows that meet in such a list have
-the guaranteed tally; every pair beyond it never meets. Equal fingerprints are
-one entry. Within a list, links are verified by counting differing bits while
-walking outwards from a start, each fingerprint being dropped once it is
-reached: the walk emits a spanning tree of the list's links, never all its
-pairs, and keeps every connection.
+count. A posting list of one byte value would hold 1/256 of all rows and the
+pairs to tally would grow with the square of that, so the lists are kept
+intersected: for each choice of that many positions, the list of the
+fingerprints with the same bytes there (70 lists of 32-bit keys for 4 bits; a
+list of n rows is cut to n / 2^32). Within a list the shared positional bytes of
+each candidate are tallied, those that reach the guaranteed count are retained,
+and links are verified by their differing bits while walking outwards from a
+start, each fingerprint being dropped once it is reached: the walk emits a
+spanning tree of the list's links, never all its pairs, and keeps every
+connection. Equal fingerprints are one entry.
+
+``near_copies`` takes a similarity instead (the Jaccard index of five-word
+shingles, 0.8 or more). There 64 bits say too little: a pair at 0.8 differs in
+0.15 of the bits. The fingerprint of a text's set of shingles is ``WIDE`` bytes
+then, the lists are ``LISTS`` choices of ``SHARED`` positions, each position in
+equally many. A candidate must agree in ``SHARED`` bytes and in all bits but
+four deviations more than a pair at the threshold is expected to differ in; what
+is left is verified on the sets themselves. By simulation, lists miss 3.3 % of
+the pairs at 0.8 exactly, 1.8 % at 0.82, 0.4 % at 0.85, none in 20,000 at 0.9;
+a document is kept wrongly only if all its links are missed. No list and no
+group is capped.
 
 Defined results: a null or blank text has the fingerprint zero and links like
-any other; repeated rows come back repeated, with one component; a null doc_id
-never names a component; an empty table gives an empty table; other columns of
-the input are ignored.
+any other; rows are told apart by doc_id and text, repeated rows come back
+repeated, with one component; a null doc_id never names a component and ranks
+last; very long texts are hashed a stretch of shingles at a time; an empty table
+gives an empty table; other columns of the input are ignored or left alone.
 """
 
 from __future__ import annotations
@@ -27,12 +41,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, partitions
+from tidewell.llm.common import cut, keyed, partitions, tidied
 from tidewell.llm.components import component_roots
 
 SHINGLE_WORDS, DIFFERING_BITS, SEED = 4, 4, 42
+#: For similarities: words of a shingle, the threshold, bytes of a fingerprint, lists and their positions.
+NEAR_WORDS, LEAST, WIDE, LISTS, SHARED = 5, 0.8, 96, 256, 3
+#: Lists that large groups are first joined by, before all lists are compared.
+FIRST_LISTS = 8
 #: Shingles that are hashed at once, so that very long texts need little memory.
 BLOCK = 100_000
+#: Odd numbers that make words of a wide fingerprint of a shingle's hash.
+_ODD = np.random.default_rng(9).integers(0, 1 << 63, WIDE // 8, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
@@ -61,7 +81,7 @@ def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
             fps = np.array([fingerprint(x, words_each) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def masks(bits: int) -> list[int]:
@@ -70,6 +90,16 @@ def masks(bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in full]
 
 
+def close(x: np.ndarray, y: np.uint64, bits: int) -> np.ndarray:
+    """Which of ``x`` link with ``y``: their shared positional bytes are tallied,
+    and the bits of those that reach the guaranteed count are verified."""
+    differ = x ^ y
+    tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+    out = tally >= 8 - bits
+    out[out] = np.bitwise_count(differ[out]) <= bits
+    return out
+
+
 def walk(found: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links that connect whatever is connected within ``found`` (distinct)."""
     out, left = [], found
@@ -77,7 +107,7 @@ def walk(found: np.ndarray, bits: int) -> list[tuple[int, int]]:
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            near = np.bitwise_count(left ^ x) <= bits
+            near = close(left, x, bits)
             if near.any():
                 reached, left = left[near], left[~near]
                 out += [(x, y) for y in reached]
@@ -94,7 +124,8 @@ def links(fps: DataFrame, bits: int = DIFFERING_BITS) -> DataFrame:
     if not 0 <= bits <= 7:
         raise ValueError("bits must be 0 to 7")
     lists = ", ".join(f"struct({i} as m, fp & {m}L as key)" if m != -(1 << 63) else f"struct({i} as m, fp & shiftleft(1L, 63) as key)" for i, m in enumerate(masks(bits)))
-    entries = fps.select("fp", F.expr(f"inline(array({lists}))"))
+    # 70 entries are made of each fingerprint: first dealt out, so that all tasks share in it.
+    entries = fps.repartition(partitions(fps), "fp").select("fp", F.expr(f"inline(array({lists}))"))
 
     def run(batches):
         held = np.empty((0,), np.uint64)
@@ -118,8 +149,8 @@ def links(fps: DataFrame, bits: int = DIFFERING_BITS) -> DataFrame:
                 edges += walk(held, bits)
                 size = ends - begins
                 two = begins[:-1][size[:-1] == 2]
-                close = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
-                edges += zip(fp[close], fp[close + 1])
+                near = two[close(fp[two] ^ fp[two + 1], np.uint64(0), bits)]
+                edges += zip(fp[near], fp[near + 1])
                 for a, b in zip(begins[:-1][size[:-1] > 2], ends[:-1][size[:-1] > 2]):
                     edges += walk(fp[a:b], bits)
                 held = fp[begins[-1] :].copy()
@@ -129,7 +160,7 @@ def links(fps: DataFrame, bits: int = DIFFERING_BITS) -> DataFrame:
 
     n = partitions(fps)
     dealt = entries.repartition(n, "m", "key").sortWithinPartitions("m", "key")
-    return dealt.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.mapInArrow(tidied(run), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def simhash_groups(docs: DataFrame, *, words_each: int = SHINGLE_WORDS, bits: int = DIFFERING_BITS) -> DataFrame:
@@ -146,11 +177,190 @@ def simhash_groups(docs: DataFrame, *, words_each: int = SHINGLE_WORDS, bits: in
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component, one for each.
+def shingle_set(text: str | None, words_each: int = NEAR_WORDS) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's word shingles."""
+    words = (text or "").encode().lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= words_each:
+        return np.array([digest(joined, SEED)] if words else [], np.uint64)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends[:-1]]
+    return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[words_each - 1 :])], np.uint64))
+
+
+def node_of(shingles: np.ndarray) -> int:
+    """A signed number that equal sets share."""
+    n = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """The SimHash of a set of hashes, ``WIDE`` bytes."""
+    ones = np.zeros(8 * WIDE, np.int64)
+    for at in range(0, len(shingles), 4096):
+        x = shingles[at : at + 4096, None]
+        x = (x ^ (x >> np.uint64(32))) * _ODD
+        x = (x ^ (x >> np.uint64(29))) * _ODD[::-1]
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(shingles)).tobytes()
+
 
-    Rows with a null doc_id can't be told apart; they are kept as they are.
+def positions(lists: int = LISTS) -> np.ndarray:
+    """The byte positions of each list: cut from shuffles of all positions."""
+    random, out = np.random.default_rng(SEED), []
+    while len(out) < lists:
+        order = random.permutation(WIDE)
+        out += [order[i : i + SHARED] for i in range(0, WIDE - SHARED + 1, SHARED)]
+    return np.array(out[:lists])
+
+
+def most_bits(least: float, bits: int = 8 * WIDE) -> int:
+    """Bits in which a pair of similarity ``least`` differs at most: what is
+    expected of two equally large sets, and four deviations more."""
+    p = np.arccos(2 * least / (1 + least)) / np.pi
+    return int(bits * p + 4 * (bits * p * (1 - p)) ** 0.5)
+
+
+def _wide(docs: DataFrame, words_each: int) -> DataFrame:
+    """_id, _digest, node, size of its set and fp of every row."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(x, words_each) for x in batch.column(2).to_pylist()]
+            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_fingerprint(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["_id", "_digest", "node", "size", "fp"])
+
+    return keyed(docs).select("_id", "_digest", "_text").mapInArrow(tidied(run), "_id long, _digest long, node long, size long, fp binary")
+
+
+def _candidates(nodes: DataFrame, lists: int, least: float, chained: bool) -> DataFrame:
+    """Pairs a, b of nodes that share a list but no root yet.
+
+    ``nodes`` has node, size, fp, root. ``chained``: of a list, only neighbours
+    in a pseudo-random order, to begin with; else all pairs of its roots.
     """
-    keep = simhash_groups(docs.where("doc_id is not null"), **settings).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    chosen = positions(lists)
+    some = int(8 * 8 * (p := np.arccos(2 * least / (1 + least)) / np.pi) + 4 * (64 * p * (1 - p)) ** 0.5)
+
+    def enter(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                n = part.num_rows
+                fp = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, WIDE)
+                keys = np.arange(lists, dtype=np.int64) << 24 | fp[:, chosen[:, 0]].astype(np.int64) << 16 | fp[:, chosen[:, 1]].astype(np.int64) << 8 | fp[:, chosen[:, 2]]
+                word = np.repeat(fp[:, :8].copy().view(np.int64), lists)
+                each = [np.repeat(part.column(k).to_numpy(zero_copy_only=False), lists) for k in (0, 1, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(each[0]), pa.array(each[1].astype(np.int32)), pa.array(each[2]), pa.array(word)], ["key", "node", "size", "root", "word"])
+
+    def pairs_of(key, node, size, root, word):
+        if len(node) < 2 or (root == root[0]).all():
+            return ()
+        if chained and len(node) > 3:
+            order = np.argsort(node.view(np.uint64) * np.uint64(2 * int(key) + 1), kind="stable")
+            i, j = order[:-1], order[1:]
+            ok = (root[i] != root[j]) & near(size[i], size[j], word[i], word[j])
+            return ((node[i[ok]], node[j[ok]]),)
+        out = []
+        for at in range(len(node)):
+            rest = slice(at + 1, None)
+            ok = (root[rest] != root[at]) & near(size[rest], size[at], word[rest], word[at])
+            if ok.any():
+                met = node[rest][ok]
+                out.append((np.full(len(met), node[at]), met))
+        return out
+
+    def near(size_a, size_b, word_a, word_b):
+        # A set that is too small can't be similar; of unrelated texts, the first word differs in half its bits.
+        return (np.minimum(size_a, size_b) >= least * np.maximum(size_a, size_b)) & (np.bitwise_count((word_a ^ word_b).view(np.uint64)) <= some)
+
+    def meet(batches):
+        held = None
+
+        def batch_of(found):
+            a, b = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else ((), ())))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+            key, begins, found = columns[0], np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]]), []
+            ends = np.append(begins[1:], len(key))
+            for a, b in zip(begins[:-1], ends[:-1]):
+                if b - a > 1:
+                    found += pairs_of(key[a], *(c[a:b] for c in columns[1:]))
+            held = [c[begins[-1] :].copy() for c in columns]
+            if found:
+                yield batch_of(found)
+        if held is not None:
+            yield batch_of(list(pairs_of(held[0][0], *held[1:])))
+
+    entered = nodes.select("node", "size", "fp", "root").mapInArrow(tidied(enter), "key long, node long, size int, root long, word long")
+    dealt = entered.repartition(partitions(nodes), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(tidied(meet), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_each: int, least: float) -> DataFrame:
+    """The pairs whose fingerprints and then sets are similar enough."""
+    most = most_bits(least)
+
+    def tally(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, WIDE) for k in (2, 3))
+            differ = a ^ b
+            ok = ((differ == 0).sum(1) >= SHARED) & (np.bitwise_count(differ).sum(1, dtype=np.int64) <= most)
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    side = lambda n: nodes.select(F.col("node").alias(n), F.col("fp").alias(f"f{n}"))
+    kept = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb").mapInArrow(tidied(tally), "a long, b long"))
+    asked = kept.select(F.col("a").alias("node")).union(kept.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(asked, "node").select(F.col("_id").alias("_wid"), F.col("_digest").alias("_wdigest"), "node")
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(x, words_each).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    texts = keyed(docs).join(wanted, F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_digest") == F.col("_wdigest"))).select("node", "_text")
+    sets = cut(texts.mapInArrow(tidied(run), "node long, shingles array<long>").dropDuplicates(["node"]))
+    one = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return cut(kept.join(one("a"), "a").join(one("b"), "b").where(both / (F.size("sa") + F.size("sb") - both) >= F.lit(least)).select("a", "b"))
+
+
+def near_copies(docs: DataFrame, *, words_each: int = NEAR_WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _digest, node) and node, root of texts that chains of links of
+    similarity ``least`` or more connect; texts without words are copies.
+
+    Large groups are first joined by a few lists, so that all lists need compare
+    only what is still apart.
+    """
+    rows = cut(_wide(docs, words_each))
+    first = F.struct(F.col("_id").isNull(), "_id", "_digest")
+    nodes = cut(rows.groupBy("node").agg(F.min(first).alias("r"), F.first("size").alias("size"), F.first("fp").alias("fp")).select("node", "size", "fp", "r._id", "r._digest"))
+    worded = nodes.where("size > 0")
+    found, roots = None, nodes.select("node", F.col("node").alias("root"))
+    for lists, chained in ((FIRST_LISTS, True), (LISTS, False)):
+        good = _verified(_candidates(worded.join(roots, "node"), lists, least, chained), nodes, docs, words_each, least)
+        found = good if found is None else found.union(good)
+        linked = component_roots(found, "a", "b")
+        roots = cut(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    return rows.select("_id", "_digest", "node"), roots
+
+
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id (of equal
+    ones, the smallest digest of the text; null ids last); of repeated rows one."""
+    rows, roots = near_copies(docs, **settings)
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_digest")).alias("r")
+    counted = rows.groupBy("_id", "_digest", "node").agg(F.count("*").alias("n"))
+    firsts = counted.join(roots, "node").groupBy("root").agg(first).select(F.col("r._id").alias("_kid"), F.col("r._digest").alias("_kdigest"))
+    keep = cut(firsts.join(counted, F.col("_kid").eqNullSafe(F.col("_id")) & (F.col("_kdigest") == F.col("_digest"))).select("_kid", "_kdigest", "n"))
+    of = lambda rows, keys: rows.join(keys, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_digest") == F.col("_kdigest")), "left_semi")
+    known = keyed(docs, every=True)
+    once, more = of(known, keep.where("n = 1")), of(known, keep.where("n > 1")).dropDuplicates(["_id", "_digest"])
+    return once.select(docs.columns).unionByName(more.select(docs.columns))
