@@ -201,30 +201,107 @@ def test_components_of_a_chain(spark):
     assert len(roots) == 65 and len({r["root"] for r in roots if r["node"] < 100}) == 1 and len({r["root"] for r in roots}) == 2
 
 
-def slow_unit_dedup(rows):
-    seen, out = set(), {}
-    for doc, text in rows:
-        found = []
-        for i, (a, b, words, begins, ends) in enumerate(unit_dedup.cut_up(text)):
-            if (h := " ".join(words).lower()) in seen:
-                found.append({"unit": i, "start": a, "stop": b, "words": len(words), "edge": begins + 2 * ends})
-            seen.add(h)
-        out[doc] = unit_dedup.without_spans(text, unit_dedup.removed(found))
+def slow_units(text):
+    """(line, start, stop, normalised) of each sentence, character by character."""
+    out, base = [], 0
+    for number, line in enumerate((text or "").split("\n")):
+        i = 0
+        while i < len(line):
+            if line[i].isspace():
+                i += 1
+                continue
+            j = i + 1
+            while j < len(line):
+                if line[j] in ".!?":
+                    while j < len(line) and line[j] in ".!?":
+                        j += 1
+                    if j == len(line) or line[j].isspace():
+                        break
+                else:
+                    j += 1
+            found = line[i:j].rstrip()
+            out.append((number, base + i, base + i + len(found), " ".join(found.lower().split())))
+            i = j
+        base += len(line) + 1
     return out
 
 
+def slow_unit_dedup(rows):
+    """The texts that are left of (doc_id, digest, text), from all pairs of places."""
+    texts = {(doc is None, doc or 0, digest): text for doc, digest, text in rows}
+    single, double, out = set(), set(), {}
+    for key in sorted(texts):
+        text, found = texts[key], slow_units(texts[key])
+        again, both, units, pairs = [], [], set(single), set(double)
+        for i, unit in enumerate(found):
+            again.append(unit[3] in units)
+            units.add(unit[3])
+            if i:
+                pair = (found[i - 1][3], unit[3])
+                both.append(pair in pairs)
+                pairs.add(pair)
+        gone = np.zeros(len(found), bool)
+        for i in range(len(found)):
+            words = 0
+            for j in range(i, len(found)):
+                if not again[j] or j > i and not both[j - 1]:
+                    break
+                words += len(found[j][3].split())
+                whole = found[i][0] == found[j][0] and (i == 0 or found[i - 1][0] != found[i][0]) and (j == len(found) - 1 or found[j + 1][0] != found[j][0])
+                if words >= 20 or whole and words >= 5:
+                    gone[i : j + 1] = True
+        runs, i = [], 0
+        while i < len(found):
+            j = i
+            while j + 1 < len(found) and gone[i] and gone[j + 1] and (both[j]):
+                j += 1
+            if gone[i]:
+                runs.append((found[i][1], found[j][2]))
+            i = j + 1
+        single, double = units, pairs
+        left, at = "", 0
+        for a, b in runs:
+            while b < len(text) and text[b] in " \t":
+                b += 1
+            if b < len(text) and text[b] == "\n" and (a == 0 or text[a - 1] == "\n"):
+                b += 1
+            left, at = left + text[at:a], b
+        out[key[:2] if key[0] else (False, key[1]), key[2]] = left + text[at:] if text is not None else None
+    return {(None if k[0][0] else k[0][1], k[1]): v for k, v in out.items()}
+
+
+def check_unit_dedup(docs):
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").collect()
+    want = slow_unit_dedup([tuple(r) for r in rows])
+    got = unit_dedup.unit_dedup(docs.withColumn("digest", F.xxhash64("text")))
+    assert {(r["doc_id"], r["digest"]): r["text"] for r in got.collect()} == want
+
+
 def test_unit_dedup(spark, odd, empty):
-    seen = {}
-    for r in odd.collect():
-        seen[r["doc_id"]] = r["text"]
-    order = sorted((i for i in seen if i is not None)) + [None]
-    want = slow_unit_dedup([(i, seen[i]) for i in order])
+    check_unit_dedup(odd)
     got = unit_dedup.unit_dedup(odd)
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == want and got.count() == odd.count()
-    assert got.columns == [*odd.columns, "n_removed", "removed_spans"]
+    assert got.count() == odd.count() and got.columns == [*odd.columns, "n_removed", "removed_spans"]
     assert unit_dedup.unit_dedup(empty).count() == 0
 
 
+def test_unit_dedup_of_many_repeats(spark):
+    rng, some = random.Random(3), [prose(n, 900 + n).replace(".", "").strip() + "." for n in (2, 3, 4, 6, 8, 12, 25)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(some) if rng.random() < 0.7 else prose(rng.choice((3, 9)), 1000 * i + k).strip() for k in range(8)]
+        rows.append((rng.choice((i, i, 5, None)), "".join(x + rng.choice((" ", " ", "\n", "\n\n", "  ")) for x in parts)))
+    check_unit_dedup(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(3))
+
+
+def test_one_doc_id_with_two_texts(spark):
+    same = prose(40, 30).replace(".", "").strip() + "."
+    docs = spark.createDataFrame([(1, same), (2, same + "\nOne."), (2, "quite another text that is unique and stays here"), (None, "x y z"), (None, same)], "doc_id long, text string")
+    left = sorted(r["text"] for r in unit_dedup.unit_dedup(docs).collect())
+    assert left == sorted([same, "One.", "quite another text that is unique and stays here", "x y z", ""])
+    kept = sorted(r["text"] for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect())
+    assert kept == sorted([same, "quite another text that is unique and stays here", "x y z"])
+
+
 def test_passage_inside_a_line_goes(spark):
     passage = prose(60, 9).replace("  ", " ").strip() + " end."
     docs = spark.createDataFrame([(1, f"First words. {passage} More of one."), (2, f"Other start. {passage} Something else here.")], "doc_id long, text string")

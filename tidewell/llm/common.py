@@ -48,6 +48,14 @@ def keyed(docs: DataFrame, every: bool = False) -> DataFrame:
     return docs.select("*", *key) if every else docs.select(*key, F.col("text").cast("string").alias("_text"))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or one like it that no column has."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def tidied(run):
     """``run`` (of mapInArrow), giving freed memory back when its task ends, so
     that a reused worker does not keep the most that any task needed."""
