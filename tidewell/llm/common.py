@@ -64,12 +64,17 @@ def tidied(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return inner
 
 
+def trim() -> None:
+    """Give freed memory of this process back."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 #: A blank with no white space after it. Python's white space contains all of
 #: the tokenizers' white space, so a cut here is a cut between their words.
 _CUT = re.compile(r" (?=\S)")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import fresh, tidied
+from tidewell.llm.common import fresh, tidied, trim
 
 SAMPLE, BUCKETS, STEPS, L2 = 8000, 1 << 15, 150, 2e-5
 #: A telling word: documents at least, and deviations from the rate of the fault; their regression's steps and penalty.
@@ -203,6 +203,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataF
     sites = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), path.alias("path")).join(known, "doc_id")
     offsets, rates = site_offsets(sites)
     sent = docs.sparkSession.sparkContext.broadcast(_fitted(docs, known, sample))
+    trim()
     place, text = len(docs.columns), docs.select(F.col("text").cast("string")).schema[0]
 
     def score(batches):

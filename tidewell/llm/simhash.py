@@ -316,9 +316,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_each: i
             yield batch.select([0, 1]).filter(pa.array(ok))
 
     side = lambda n: nodes.select(F.col("node").alias(n), F.col("fp").alias(f"f{n}"))
-    kept = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb").mapInArrow(tidied(tally), "a long, b long"))
+    kept = cut(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "fa", "fb").mapInArrow(tidied(tally), "a long, b long"))
     asked = kept.select(F.col("a").alias("node")).union(kept.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(asked, "node").select(F.col("_id").alias("_wid"), F.col("_digest").alias("_wdigest"), "node")
+    wanted = nodes.join(asked.hint("merge"), "node").select(F.col("_id").alias("_wid"), F.col("_digest").alias("_wdigest"), "node")
 
     def run(batches):
         for batch in batches:
@@ -329,7 +329,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_each: i
     sets = cut(texts.mapInArrow(tidied(run), "node long, shingles array<long>").dropDuplicates(["node"]))
     one = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return cut(kept.join(one("a"), "a").join(one("b"), "b").where(both / (F.size("sa") + F.size("sb") - both) >= F.lit(least)).select("a", "b"))
+    return cut(kept.join(one("a").hint("merge"), "a").join(one("b").hint("merge"), "b").where(both / (F.size("sa") + F.size("sb") - both) >= F.lit(least)).select("a", "b"))
 
 
 def near_copies(docs: DataFrame, *, words_each: int = NEAR_WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -345,10 +345,10 @@ def near_copies(docs: DataFrame, *, words_each: int = NEAR_WORDS, least: float =
     worded = nodes.where("size > 0")
     found, roots = None, nodes.select("node", F.col("node").alias("root"))
     for lists, chained in ((FIRST_LISTS, True), (LISTS, False)):
-        good = _verified(_candidates(worded.join(roots, "node"), lists, least, chained), nodes, docs, words_each, least)
+        good = _verified(_candidates(worded.join(roots.hint("merge"), "node"), lists, least, chained), nodes, docs, words_each, least)
         found = good if found is None else found.union(good)
         linked = component_roots(found, "a", "b")
-        roots = cut(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        roots = cut(nodes.select("node").join(linked.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     return rows.select("_id", "_digest", "node"), roots
 
 
