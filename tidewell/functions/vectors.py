@@ -69,6 +69,13 @@ OVER_TIME = {
 }
 
 
+def quantile(v: Column, phi: float) -> Column:
+    """Interpolated; beyond 0 and 1 it is infinite."""
+    if phi != phi:
+        return F.max(F.lit(float("nan")))
+    return F.percentile(v, F.lit(phi)) if 0 <= phi <= 1 else F.max(F.lit(float("-inf") if phi < 0 else float("inf")))
+
+
 def over_time(samples: DataFrame, labels: list[str], start: int, stop: int, step: int, span: int, call: str, phi: float = 0.5) -> DataFrame:
     rows = windows(samples, labels, start, stop, step, span)
     v = F.col("value")
@@ -77,7 +84,10 @@ def over_time(samples: DataFrame, labels: list[str], start: int, stop: int, step
         met = (F.col("value") != F.col("_before")) if call == "changes" else (F.col("value") < F.col("_before"))
         out = F.sum(F.when(met, 1.0).otherwise(0.0))
     elif call == "quantile":
-        out = F.percentile(v, F.lit(phi))
+        out = quantile(v, phi)
+    elif call == "mad":
+        middle = F.percentile(v, F.lit(0.5)).over(Window.partitionBy(*labels, "at"))
+        rows, out = rows.withColumn("_away", F.abs(v - middle)), F.percentile(F.col("_away"), F.lit(0.5))
     elif call == "last":
         out = F.max_by(v, F.col("time"))
     elif call == "deriv":
@@ -94,6 +104,22 @@ def predict_linear(samples: DataFrame, labels: list[str], start: int, stop: int,
     return grouped.withColumnRenamed("at", "time").where("value is not null")
 
 
+def double_smoothed(samples: DataFrame, labels: list[str], start: int, stop: int, step: int, span: int, smoothing: float, trend: float) -> DataFrame:
+    """Double exponential smoothing over the samples of a window, two at least."""
+    if not (0 < smoothing < 1 and 0 < trend < 1):
+        raise ValueError("smoothing and trend factors lie between 0 and 1")
+    rows = windows(samples, labels, start, stop, step, span).groupBy(*labels, "at").agg(F.array_sort(F.collect_list(F.struct("time", "value"))).alias("s")).where(F.size("s") >= 2)
+    first, second = F.get("s", 0)["value"], F.get("s", 1)["value"]
+    zero = F.struct(F.lit(0.0).alias("before"), first.alias("level"), (second - first).alias("trend"), F.lit(0).alias("i"))
+
+    def move(state, x):
+        slope = F.when(state["i"] == 0, state["trend"]).otherwise(trend * (state["level"] - state["before"]) + (1 - trend) * state["trend"])
+        return F.struct(state["level"].alias("before"), (smoothing * x["value"] + (1 - smoothing) * (state["level"] + slope)).alias("level"), slope.alias("trend"), (state["i"] + 1).alias("i"))
+
+    out = F.aggregate(F.slice("s", 2, F.size("s")), zero, move, lambda state: state["level"])
+    return rows.select(*labels, F.col("at").alias("time"), out.alias("value"))
+
+
 def instant(samples: DataFrame, labels: list[str], start: int, stop: int, step: int, lookback: int = 300_000_000) -> DataFrame:
     """The last sample within ``lookback`` at each evaluation time."""
     return over_time(samples, labels, start, stop, step, lookback, "last")
@@ -103,7 +129,7 @@ AGGREGATORS = {"sum": F.sum, "avg": F.avg, "count": lambda v: F.count(v).cast("d
 
 
 def aggregated(vector: DataFrame, by: list[str], call: str, phi: float = 0.5) -> DataFrame:
-    out = F.percentile("value", F.lit(phi)) if call == "quantile" else AGGREGATORS[call](F.col("value"))
+    out = quantile(F.col("value"), phi) if call == "quantile" else AGGREGATORS[call](F.col("value"))
     return vector.groupBy(*by, "time").agg(out.alias("value"))
 
 
@@ -117,8 +143,11 @@ def histogram_quantile(buckets: DataFrame, by: list[str], phi: float) -> DataFra
     """From cumulative counts by upper bound ``le`` (a double, +Infinity last).
 
     Bounds belong to one histogram, so their window is small; counts are first
-    made to rise."""
+    made to rise. Beyond 0 and 1 the result is infinite."""
     line = Window.partitionBy(*by, "time").orderBy("le")
+    if not 0 <= phi <= 1:
+        beyond = float("nan") if phi != phi else float("-inf") if phi < 0 else float("inf")
+        return buckets.groupBy(*by, "time").agg(F.max("le").alias("_top"), F.max("value").alias("_n")).where((F.col("_top") == float("inf")) & (F.col("_n") > 0)).select(*by, "time", F.lit(beyond).alias("value"))
     up = buckets.withColumn("c", F.max("value").over(line))
     rows = up.select("*", F.lag("c").over(line).alias("c0"), F.lag("le").over(line).alias("le0"), F.max("c").over(Window.partitionBy(*by, "time")).alias("n"), F.max("le").over(Window.partitionBy(*by, "time")).alias("top"))
     hit = rows.where((F.col("top") == float("inf")) & (F.col("n") > 0) & (F.col("c") >= F.col("n") * phi) & (F.coalesce("c0", F.lit(-1.0)) < F.col("n") * phi))

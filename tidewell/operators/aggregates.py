@@ -73,6 +73,20 @@ def aggregate(m: Measurement, calls: dict[str, tuple[str, str]], *, by: tuple[st
     return framed.groupBy(*by, "_bucket").agg(*columns).withColumnRenamed("_bucket", "time")
 
 
+def percentile_sketch(field: str, p: float, clusters: int = 1000) -> Column:
+    """A percentile from a mergeable sketch: within 1/(10 ``clusters``) of its rank."""
+    return F.percentile_approx(field, F.lit(p / 100.0), F.lit(int(10 * clusters)))
+
+
+def histogram(field: str, bins: int = 10) -> Column:
+    """Centres and heights of at most ``bins`` bins, as JSON text."""
+    return F.to_json(F.histogram_numeric(F.col(field).cast("double"), F.lit(int(bins))))
+
+
+#: Grouped sums with arguments of their own.
+AGGREGATES = {"percentile_approx": percentile_sketch, "percentile_ogsketch": percentile_sketch, "histogram": histogram}
+
+
 def _ranked(m: Measurement, by: tuple[str, ...], *order: Column) -> DataFrame:
     return m.frame.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
@@ -136,8 +150,22 @@ def rmse_of_halves(m: Measurement, field: str, by: tuple[str, ...]) -> DataFrame
     return each.groupBy(*by).agg((rmse / F.greatest(F.lit(1.0), F.least(F.avg("_a"), F.avg("_b")))).alias("rmse"))
 
 
-def heavy_hitters(m: Measurement, field: str, n: int, call: str = "count") -> DataFrame:
-    """The ``n`` values that occur most or sum up to most, exactly."""
-    total = F.count("*") if call == "count" else F.sum(field)
-    keys = [t for t in m.tags]
-    return m.frame.groupBy(*keys).agg(total.alias("total")).orderBy(F.desc("total"), *keys).limit(n)
+def heavy_hitters(m: Measurement, field: str, n: int, call: str = "count", by: tuple[str, ...] = (), share: float = 0.0) -> DataFrame:
+    """The ``n`` combinations of ``by`` (all tags as a rule) that occur most or
+    sum up to most, exactly; with ``share``, only those with that part of all."""
+    keys = list(by or m.tags)
+    totals = m.frame.groupBy(*keys).agg((F.count("*") if call == "count" else F.sum(field)).alias("total"))
+    if share:
+        whole = totals.agg((F.sum("total") * F.lit(float(share))).alias("_least"))
+        totals = totals.join(F.broadcast(whole), F.col("total") >= F.col("_least")).drop("_least")
+    return totals.orderBy(F.desc("total"), *keys).limit(n)
+
+
+def merged_partials(parts: list[DataFrame], by: list[str], calls: dict[str, str]) -> DataFrame:
+    """Partial aggregates of several runs as one: ``calls`` maps a column to
+    sum, count, min or max. What an incremental query adds run by run."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    outer = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    return whole.groupBy(*by).agg(*(outer[c](n).alias(n) for n, c in calls.items()))

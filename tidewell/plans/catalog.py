@@ -19,8 +19,8 @@ from tidewell.plans.sql import run_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: 2024-01-01, the first day of the events.
-T0 = 1_704_067_200_000_000
+#: 2024-01-01, the first day of the events, and the end of the last one, 2024-01-30.
+T0, T1 = 1_704_067_200_000_000, 1_704_067_200_000_000 + 30 * DAY
 TYPE, SALE = ("event_type",), ("l_returnflag", "l_linestatus")
 E = "(select epoch_us(ts) as time, event_type, user_id, value from events)"
 
@@ -40,24 +40,24 @@ def r(column, digits: int = 6):
     return F.round(column, digits)
 
 
-def hourly(spark, sf_dir, start=T0, stop=T0 + 2 * DAY) -> Measurement:
+def hourly(spark, sf_dir, start=T0, stop=T1) -> Measurement:
     return events(spark, sf_dir).between(start, stop)
 
 
-HOURLY_NULL = f"""with b as (select event_type, time - time % {HOUR} as time, avg(value) as m, max(value) as top, count(value) as n from {E} where time >= {T0} and time < {T0 + 2 * DAY} group by 1, 2),
-g as (select event_type, t.time from (select distinct event_type from b), (select unnest(range({T0}, {T0 + 2 * DAY}, {HOUR})) as time) t)
+HOURLY_NULL = f"""with b as (select event_type, time - time % {HOUR} as time, avg(value) as m, max(value) as top, count(value) as n from {E} where time >= {T0} and time < {T1} group by 1, 2),
+g as (select event_type, t.time from (select distinct event_type from b), (select unnest(range({T0}, {T1}, {HOUR})) as time) t)
 select g.event_type, g.time, round(m, 6) as mean_value, top as max_value, n as n_values from g left join b using (event_type, time)"""
 
 
 @query(HOURLY_NULL)
 def hourly_mean_fill_null(spark, sf_dir):
     m = A.aggregate(hourly(spark, sf_dir), {"mean_value": ("mean", "value"), "max_value": ("max", "value"), "n_values": ("count", "value")}, by=TYPE, every=HOUR)
-    return fill(m, TYPE, "mean_value", T0, T0 + 2 * DAY, HOUR).select("event_type", "time", r("mean_value").alias("mean_value"), "max_value", "n_values")
+    return fill(m, TYPE, "mean_value", T0, T1, HOUR).select("event_type", "time", r("mean_value").alias("mean_value"), "max_value", "n_values")
 
 
 @query(HOURLY_NULL)
 def sql_hourly_mean_fill_null(spark, sf_dir):
-    out = run_sql("SELECT mean(value) AS mean_value, max(value) AS max_value, count(value) AS n_values FROM events WHERE time >= '2024-01-01' AND time < '2024-01-03' GROUP BY time(1h), event_type fill(null)", {"events": events(spark, sf_dir)})
+    out = run_sql("SELECT mean(value) AS mean_value, max(value) AS max_value, count(value) AS n_values FROM events WHERE time >= '2024-01-01' AND time < '2024-01-31' GROUP BY time(1h), event_type fill(null)", {"events": events(spark, sf_dir)})
     return out.withColumn("mean_value", r("mean_value"))
 
 
@@ -169,11 +169,11 @@ def bucket_time_zone(spark, sf_dir):
 def _filled(name: str, how, value_sql: str):
     def f(spark, sf_dir):
         buckets = A.aggregate(hourly(spark, sf_dir), {"v": ("mean", "value")}, by=TYPE, every=HOUR)
-        return fill(buckets, TYPE, "v", T0, T0 + 2 * DAY, HOUR, how).select("event_type", "time", r("v").alias("v"))
+        return fill(buckets, TYPE, "v", T0, T1, HOUR, how).select("event_type", "time", r("v").alias("v"))
 
     f.__name__ = name
-    query(f"""with b as (select event_type, time - time % {HOUR} as time, avg(value) as v from {E} where time >= {T0} and time < {T0 + 2 * DAY} group by 1, 2),
-g as (select event_type, t.time from (select distinct event_type from b), (select unnest(range({T0}, {T0 + 2 * DAY}, {HOUR})) as time) t), j as (select g.event_type, g.time, v, case when v is not null then g.time end as kt from g left join b using (event_type, time)),
+    query(f"""with b as (select event_type, time - time % {HOUR} as time, avg(value) as v from {E} where time >= {T0} and time < {T1} group by 1, 2),
+g as (select event_type, t.time from (select distinct event_type from b), (select unnest(range({T0}, {T1}, {HOUR})) as time) t), j as (select g.event_type, g.time, v, case when v is not null then g.time end as kt from g left join b using (event_type, time)),
 k as (select *, last_value(v ignore nulls) over p as a, last_value(kt ignore nulls) over p as ta, first_value(v ignore nulls) over n as z, first_value(kt ignore nulls) over n as tz from j window p as (partition by event_type order by time rows between unbounded preceding and current row), n as (partition by event_type order by time rows between current row and unbounded following))
 select event_type, time, round({value_sql}, 6) as v from k""")(f)
 
@@ -183,7 +183,7 @@ _filled("fill_previous", "previous", "a")
 _filled("fill_linear", "linear", "coalesce(v, a + (z - a) * ((time - ta) / nullif(tz - ta, 0)))")
 
 
-@query(f"select event_type, time - time % {HOUR} as time, round(avg(value), 6) as v from {E} where time >= {T0} and time < {T0 + 2 * DAY} group by 1, 2")
+@query(f"select event_type, time - time % {HOUR} as time, round(avg(value), 6) as v from {E} where time >= {T0} and time < {T1} group by 1, 2")
 def fill_none(spark, sf_dir):
     return A.aggregate(hourly(spark, sf_dir), {"v": ("mean", "value")}, by=TYPE, every=HOUR).withColumn("v", r("v"))
 
@@ -220,28 +220,28 @@ def not_in_subquery(spark, sf_dir):
     return J.contained(o, "o_custkey", c.where("c_mktsegment = 'BUILDING'").select("c_custkey"), negated=True).select("o_orderkey", "o_totalprice")
 
 
-@query("select event_type, user_id from events where value > 100 union select event_type, user_id from events where user_id < 10")
+@query("select event_type, user_id from events where value > 100 union select event_type, user_id from events where value < 5")
 def union_distinct(spark, sf_dir):
     f = events(spark, sf_dir).frame.select("event_type", "user_id", "value")
-    return f.where("value > 100").union(f.where("user_id < 10")).select("event_type", "user_id").distinct()
+    return f.where("value > 100").union(f.where("value < 5")).select("event_type", "user_id").distinct()
 
 
-@query("select event_type, user_id from events where value > 100 union all select event_type, user_id from events where user_id < 10")
+@query("select event_type, user_id from events where value > 100 union all select event_type, user_id from events where value < 5")
 def union_all(spark, sf_dir):
     f = events(spark, sf_dir).frame
-    return f.where("value > 100").select("event_type", "user_id").union(f.where("user_id < 10").select("event_type", "user_id"))
+    return f.where("value > 100").select("event_type", "user_id").union(f.where("value < 5").select("event_type", "user_id"))
 
 
-@query("select event_type, user_id, null::double as value from events where user_id < 10 union all by name select value, event_type, user_id from events where value > 100")
+@query("select event_type, user_id, null::double as value from events where value < 5 union all by name select value, event_type, user_id from events where value > 100")
 def union_all_by_name(spark, sf_dir):
     f = events(spark, sf_dir).frame
-    return f.where("user_id < 10").select("event_type", "user_id").unionByName(f.where("value > 100").select("value", "event_type", "user_id"), allowMissingColumns=True)
+    return f.where("value < 5").select("event_type", "user_id").unionByName(f.where("value > 100").select("value", "event_type", "user_id"), allowMissingColumns=True)
 
 
-@query("select distinct * from (select event_type, user_id from events where user_id < 10 union by name select user_id, event_type from events where value > 100)")
+@query("select distinct * from (select event_type, user_id from events where value < 5 union by name select user_id, event_type from events where value > 100)")
 def union_by_name(spark, sf_dir):
     f = events(spark, sf_dir).frame
-    return f.where("user_id < 10").select("event_type", "user_id").unionByName(f.where("value > 100").select("user_id", "event_type")).distinct()
+    return f.where("value < 5").select("event_type", "user_id").unionByName(f.where("value > 100").select("user_id", "event_type")).distinct()
 
 
 @query("with c as (select l_orderkey, sum(l_extendedprice * (1 - l_discount)) as revenue from lineitem group by 1) select o_orderpriority, round(sum(revenue), 2) as revenue, count(*) as n from orders join c on o_orderkey = l_orderkey group by 1")
@@ -315,7 +315,7 @@ def show_series(spark, sf_dir):
     return events(spark, sf_dir).frame.groupBy(F.col("event_type").alias("tag_value")).agg(F.count("*").alias("n_points"), F.count_distinct("user_id").alias("n_series"))
 
 
-GRID = f"(select unnest(range({T0 + DAY}, {T0 + 3 * DAY + 1}, {6 * HOUR})) as tick)"
+GRID = f"(select unnest(range({T0 + DAY}, {T1 + 1}, {6 * HOUR})) as tick)"
 
 
 def _vector(spark, sf_dir, counter=False):
@@ -326,7 +326,7 @@ def _vector(spark, sf_dir, counter=False):
     return m.frame.select("event_type", "time", "value")
 
 
-_GRID = dict(labels=["event_type"], start=T0 + DAY, stop=T0 + 3 * DAY, step=6 * HOUR, span=DAY)
+_GRID = dict(labels=["event_type"], start=T0 + DAY, stop=T1, step=6 * HOUR, span=DAY)
 _W = f"from {GRID} g join {E} e on e.time >= g.tick - {DAY} and e.time <= g.tick group by event_type, g.tick"
 
 
@@ -335,7 +335,7 @@ def _over(name: str, call: str, sql: str, **more):
         return V.over_time(_vector(spark, sf_dir), call=call, **_GRID, **more).withColumn("value", r("value"))
 
     f.__name__ = f"prom_{name}_over_time" if name not in ("changes", "resets", "deriv") else f"prom_{name}"
-    query(f"select event_type, g.tick as time, round({sql}, 6) as value {_W}")(f)
+    query(f"select event_type, g.tick as time, round({sql}, 6) as value {_W}{' having count(*) > 1' if name == 'deriv' else ''}")(f)
 
 
 for _name, _sql in {"sum": "sum(value)", "avg": "avg(value)", "count": "count(*)::double", "min": "min(value)", "max": "max(value)", "stddev": "stddev_pop(value)", "stdvar": "var_pop(value)", "present": "1.0::double", "last": "arg_max(value, e.time)", "deriv": "regr_slope(value, (e.time - g.tick) / 1e6)"}.items():
@@ -343,7 +343,7 @@ for _name, _sql in {"sum": "sum(value)", "avg": "avg(value)", "count": "count(*)
 _over("quantile", "quantile", "quantile_cont(value, 0.9)", phi=0.9)
 
 
-@query(f"select event_type, g.tick as time, round(regr_intercept(value, (e.time - g.tick) / 1e6) + 3600 * regr_slope(value, (e.time - g.tick) / 1e6), 6) as value {_W}")
+@query(f"select event_type, g.tick as time, round(regr_intercept(value, (e.time - g.tick) / 1e6) + 3600 * regr_slope(value, (e.time - g.tick) / 1e6), 6) as value {_W} having count(*) > 1")
 def prom_predict_linear(spark, sf_dir):
     return V.predict_linear(_vector(spark, sf_dir), ahead=3600, **_GRID).withColumn("value", r("value"))
 
@@ -392,12 +392,12 @@ _two("idelta", False)
 
 @query(f"select event_type, g.tick as time, arg_max(value, e.time) as value from {GRID} g join {E} e on e.time >= g.tick - {300_000_000} and e.time <= g.tick group by 1, 2")
 def prom_instant(spark, sf_dir):
-    return V.instant(_vector(spark, sf_dir), ["event_type"], T0 + DAY, T0 + 3 * DAY, 6 * HOUR)
+    return V.instant(_vector(spark, sf_dir), ["event_type"], T0 + DAY, T1, 6 * HOUR)
 
 
 @query(f"select g.event_type, g.tick as time, e.value from (select d.event_type, x.tick from (select distinct event_type from events) d, {GRID} x) g asof join {E} e on e.event_type = g.event_type and e.time <= g.tick where e.time >= g.tick - {HOUR}")
 def as_of_join(spark, sf_dir):
-    steps = F.explode(F.sequence(F.lit(T0 + DAY), F.lit(T0 + 3 * DAY), F.lit(6 * HOUR)))
+    steps = F.explode(F.sequence(F.lit(T0 + DAY), F.lit(T1), F.lit(6 * HOUR)))
     samples = _vector(spark, sf_dir)
     grid = samples.select("event_type").distinct().select("event_type", steps.alias("time"))
     return J.as_of(grid, samples, ["event_type"], HOUR)
@@ -432,10 +432,10 @@ _binary("or", "or", f"select a.user_id, a.time, round(a.value, 4) as value from
 
 def _aggregator(name: str, sql: str, **more):
     def f(spark, sf_dir):
-        return V.aggregated(_users(spark, sf_dir, "click"), [], name, **more).withColumn("value", r("value", 2))
+        return V.aggregated(_users(spark, sf_dir, "click"), [], name, **more).withColumn("value", r("value"))
 
     f.__name__ = f"prom_{name}"
-    query(f"select time, round({sql}, 2) as value from {_A} group by 1")(f)
+    query(f"select time, round({sql}, 6) as value from {_A} group by 1")(f)
 
 
 for _name, _sql in {"sum": "sum(value)", "avg": "avg(value)", "count": "count(*)::double", "min": "min(value)", "max": "max(value)", "stddev": "stddev_pop(value)", "stdvar": "var_pop(value)", "group": "1.0::double"}.items():
@@ -480,3 +480,6 @@ def stream_rollup(spark, sf_dir):
     from tidewell.streaming.rollup import replayed
 
     return replayed(spark, sf_dir, "events.parquet").withColumn("total", r("total", 4))
+
+
+from tidewell.plans import catalog_language  # noqa: E402, F401
