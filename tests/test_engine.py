@@ -12,7 +12,7 @@ from tidewell.operators import aggregates as A
 from tidewell.operators import joins as J
 from tidewell.operators.fill import fill
 from tidewell.plans import catalog
-from tidewell.plans.sql import Parser, SqlError, run_sql
+from tidewell.plans.sql import SqlError, parse, run_sql
 from tidewell.sources.line_protocol import number, parse_lines
 
 SF = "/root/testdata/sf0.001"
@@ -90,7 +90,7 @@ def test_vector_division_by_zero(spark):
 def test_sql_errors():
     for text in ("SELECT", "SELECT mean(v) FROM m WHERE", "SELECT v FROM m LIMIT x ;;", "SELECT v FROM m GROUP BY time(1h) extra"):
         with pytest.raises(SqlError):
-            Parser(text).select()
+            parse(text)
 
 
 def test_sql_offset_alone_is_limit_one(spark, points):

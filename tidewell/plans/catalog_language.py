@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.model import DAY, HOUR, Measurement, events, measurement, orders, sales
-from tidewell.plans import catalog as C
 from tidewell.plans.catalog import GRID, T0, T1, E, query, r
+from tidewell.functions.scalar import FUNCTIONS
+from tidewell.operators.aggregates import merged_partials
+from tidewell.operators.geofence import in_fences
+from tidewell.plans.logs import search
 from tidewell.plans.promql import run_promql
 from tidewell.plans.sql import run_sql
+from tidewell.sources.line_protocol import lines_of, number, parse_lines
+from tidewell.streaming.rollup import downsample, downsampled_again
 
 
 def sources(spark, sf_dir) -> dict[str, Measurement]:
@@ -182,4 +187,90 @@ x as (select *, lag(c) over (partition by time order by le) as c0, lag(le) over
 select time, round(case when le = 'inf' then l0 else coalesce(l0, 0) + (le - coalesce(l0, 0)) * ((0.9 * n - coalesce(c0, 0)) / (c - coalesce(c0, 0))) end, 5) as value from x where c >= 0.9 * n and coalesce(c0, -1) < 0.9 * n""")
 metric("histogram_quantile_beyond", "histogram_quantile(2, sum by (le) (sum_over_time(bucket[1d])))", f"select g.tick as time, 'inf'::double as value from {GRID} g where exists (select 1 from {E} e where e.time - e.time % {DAY} >= g.tick - {DAY} and e.time - e.time % {DAY} <= g.tick)")
 
-del C
+
+@query("select doc_id, regexp_extract(text, '([A-Z][a-z]+) ([a-z]+)', 1) as first, regexp_extract(text, '([A-Z][a-z]+) ([a-z]+)', 2) as second from documents where lang = 'en' and n_chars > 200 and n_chars <= 5000 and regexp_matches(text, '([A-Z][a-z]+) ([a-z]+)')")
+def log_pipe(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return search(docs, 'lang = en n_chars IN (200 5000] | EXTRACT(text: "([A-Z][a-z]+) ([a-z]+)") AS (first, second)', "text").where("first is not null").select("doc_id", "first", "second")
+
+
+@query("select doc_id from documents where (source in (select distinct source from documents order by 1 limit 2) or lang = 'de') and n_chars < 300")
+def log_conditions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    two = [row[0] for row in docs.select("source").distinct().orderBy("source").limit(2).collect()]
+    return search(docs, f'(source IN ("{two[0]}", "{two[1]}") OR lang: de) AND n_chars < 300', "text").select("doc_id")
+
+
+_POINTS = "(select c_custkey, 40 + (c_custkey * 37 % 2000) / 100.0 as lat, (c_custkey * 91 % 36000) / 100.0 - 180 as lon from customer)"
+_FENCES = "(select s_suppkey as fence_id, 40 + (s_suppkey * 53 % 2000) / 100.0 as flat, (s_suppkey * 77 % 36000) / 100.0 - 180 as flon, 20000.0 + s_suppkey % 7 * 40000 as radius from supplier)"
+
+
+@query(f"select c_custkey, fence_id from {_POINTS} p, {_FENCES} f where 2 * 6371000 * asin(least(1, sqrt(pow(sin((radians(flat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(flat)) * pow(sin((radians(flon) - radians(lon)) / 2), 2)))) <= radius")
+def geofence(spark, sf_dir):
+    people, places = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "supplier"))
+    lat = lambda k, a: 40 + (F.col(k) * a % 2000) / 100.0
+    lon = lambda k, a: (F.col(k) * a % 36000) / 100.0 - 180
+    points = people.select("c_custkey", lat("c_custkey", 37).alias("lat"), lon("c_custkey", 91).alias("lon"))
+    fences = places.select(F.col("s_suppkey").alias("fence_id"), lat("s_suppkey", 53).alias("lat"), lon("s_suppkey", 77).alias("lon"), (20000.0 + F.col("s_suppkey") % 7 * 40000).alias("radius"))
+    return in_fences(points, fences, cell=1.0).select("c_custkey", "fence_id")
+
+
+@query("""with edges as (select distinct c_nationkey as src, c_custkey % 25 as dst from customer where c_nationkey <> c_custkey % 25), own as (select n_nationkey as node, (n_nationkey % 5)::double as own from nation where n_nationkey % 5 > 0),
+live as (select src, dst from edges where src in (select node from own) and dst in (select node from own)), h1 as (select dst as node, sum(own) * 0.5 as part from live join own on own.node = src group by 1), h2 as (select dst as node, sum(part) * 0.5 as part from live join h1 on h1.node = src group by 1)
+select node, own, round(own + coalesce(h1.part, 0) + coalesce(h2.part, 0), 6) as score, round(coalesce(h1.part, 0) + coalesce(h2.part, 0), 6) as explained from own left join h1 using (node) left join h2 using (node)""")
+def rca(spark, sf_dir):
+    customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    edges = customer.select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 25).alias("dst")).distinct()
+    found = nation.select(F.col("n_nationkey").alias("node"), (F.col("n_nationkey") % 5).alias("severity"))
+    measured = {"alarms": Measurement(found, ("node",), ("severity",)), "topology": Measurement(edges, (), ("src", "dst"))}
+    out = run_sql("SELECT node, own, score, explained FROM rca(alarms, topology, '{\"hops\": 2}')", measured)
+    return out.select("node", "own", r("score").alias("score"), r("explained").alias("explained"))
+
+
+@query(f"select event_type, user_id, time, value, case when value > 120 then 'inf'::double else 0 end as score, value > 120 as anomaly from {E}")
+def castor_threshold(spark, sf_dir):
+    return run_sql("SELECT value, score, anomaly FROM castor(events, value, threshold, fit_detect, '{\"high\": 120}') GROUP BY event_type, user_id", sources(spark, sf_dir))
+
+
+@query(f"select event_type, user_id, avg(value) as mean, stddev_pop(value) as sd from {E} group by 1, 2")
+def castor_fit(spark, sf_dir):
+    out = run_sql("SELECT model FROM castor(events, value, deviation, fit) GROUP BY event_type, user_id", sources(spark, sf_dir))
+    return out.select("event_type", "user_id", F.get_json_object("model", "$.mean").cast("double").alias("mean"), F.get_json_object("model", "$.sd").cast("double").alias("sd"))
+
+
+@query()
+def castor_local_median(spark, sf_dir):
+    return run_sql("SELECT value, score, anomaly FROM castor(events, value, local_median) WHERE anomaly = true GROUP BY event_type, user_id", sources(spark, sf_dir))
+
+
+@query("select event_type, user_id, epoch_us(ts) as time, value from events")
+def line_protocol_round_trip(spark, sf_dir):
+    lines = lines_of(events(spark, sf_dir).frame, "events", ["event_type", "user_id"], ["value"])
+    back = parse_lines(lines)
+    return back.select(F.col("tags")["event_type"].alias("event_type"), F.col("tags")["user_id"].cast("long").alias("user_id"), (F.col("time_ns") / 1000).cast("long").alias("time"), number(F.col("fields")["value"]).alias("value"))
+
+
+@query(f"with p as (select event_type, count(*) as n, sum(value) as s, max(value) as m from {E} group by 1) select event_type, n, round(s, 4) as s, m from p")
+def incremental_aggregate(spark, sf_dir):
+    """Partial results of three runs over a third of the days each, merged."""
+    m, days = events(spark, sf_dir), 10 * DAY
+    parts = [m.between(T0 + i * days, T0 + (i + 1) * days).frame.groupBy("event_type").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.max("value").alias("m")) for i in range(3)]
+    return merged_partials(parts, ["event_type"], {"n": "count", "s": "sum", "m": "max"}).withColumn("s", r("s", 4))
+
+
+@query(f"select event_type, user_id, time - time % {DAY} as time, count(*) as count_value, min(value) as min_value, arg_min(value, time) as first_value from {E} e group by event_type, user_id, e.time - e.time % {DAY}".replace("arg_min(value, time)", "arg_min(value, e.time)"))
+def downsample_twice(spark, sf_dir):
+    m = events(spark, sf_dir)
+    hours = downsample(m, {"value": ["count", "min", "first"]}, HOUR)
+    return downsampled_again(hours, m.tags, DAY)
+
+
+@query("""select user_id, '10.' || user_id % 256 || '.' || user_id % 7 || '.3/20' as cidr, '10.' || user_id % 256 || '.0.0' as low, '10.' || user_id % 256 || '.0.255' as high, '["10.' || user_id % 256 || '.0.0", "10.' || user_id % 256 || '.0.255"]' as both, '中国移动' as carrier, '未知运营商' as unknown, '{"a":[1,2]}' as doc, '2' as inside from (select distinct user_id from events)""")
+def network_functions(spark, sf_dir):
+    u, fn = F.col("user_id").cast("string"), FUNCTIONS
+    block = (F.col("user_id") % 256).cast("string")
+    cidr = F.concat(F.lit("10."), block, F.lit("."), (F.col("user_id") % 7).cast("string"), F.lit(".3/20"))
+    doc = F.lit('{"a":[1,2]}')
+    found = events(spark, sf_dir).frame.select("user_id").distinct()
+    return found.select("user_id", cidr.alias("cidr"), fn["ip_subnet_min"](cidr).alias("low"), fn["ip_subnet_max"](cidr).alias("high"), fn["ip_subnet_range"](cidr).alias("both"), fn["mobile_carrier"](F.concat(F.lit("138"), u)).alias("carrier"), fn["mobile_carrier"](F.concat(F.lit("111"), u)).alias("unknown"), doc.alias("doc"), fn["json_extract"](doc, "$.a[1]").alias("inside"))
+

@@ -27,6 +27,7 @@ from tidewell.functions.scalar import CASTS, FUNCTIONS, int_divide, int_modulo,
 from tidewell.model import SECOND, Measurement
 from tidewell.operators import aggregates as A
 from tidewell.operators import transforms as T
+from tidewell.operators.causes import TABLES
 from tidewell.operators.fill import fill
 from tidewell.operators.forecast import holt_winters
 from tidewell.operators.joins import contained
@@ -92,7 +93,7 @@ class Planner:
     """
 
     def __init__(self, sources: dict[str, Measurement], *, now: int | None = None, tables: dict[str, Callable] | None = None, write: Callable[[str, Measurement], None] | None = None):
-        self.sources, self.tables, self.write = dict(sources), dict(tables or {}), write
+        self.sources, self.tables, self.write = dict(sources), TABLES | (tables or {}), write
         self.now = int(clock.time() * 1_000_000) if now is None else now
 
     def run(self, tree) -> Measurement:

@@ -40,5 +40,32 @@ def number(field: Column) -> Column:
     return F.when(F.lower(field).isin("t", "true"), 1.0).when(F.lower(field).isin("f", "false"), 0.0).otherwise(F.regexp_replace(field, "[iu]$", "").try_cast("double"))
 
 
+def text_value(field: Column) -> Column:
+    """A quoted field without its quotes and escapes."""
+    return F.regexp_replace(F.regexp_replace(field, r'^"|"$', ""), r"\\([\"\\])", "$1")
+
+
+def _escaped(text: Column) -> Column:
+    return F.regexp_replace(text.cast("string"), r"([,= ])", r"\\$1")
+
+
+def lines_of(frame: DataFrame, name: str, tags: list[str], fields: list[str], time: str = "time") -> DataFrame:
+    """Points (times in microseconds) as line protocol, one column ``value``;
+    points without any field are left out."""
+    kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
+
+    def shown(f: str) -> Column:
+        x = F.col(f)
+        if kinds[f] == "string":
+            x = F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\])', r"\\$1"), F.lit('"'))
+        elif kinds[f] in ("bigint", "int", "smallint", "tinyint"):
+            x = F.concat(x.cast("string"), F.lit("i"))
+        return F.concat(F.lit(f"{f}="), x.cast("string"))
+
+    head = F.concat_ws(",", F.lit(name), *(F.when(F.col(t).isNotNull() & (F.col(t).cast("string") != ""), F.concat(F.lit(f"{t}="), _escaped(F.col(t)))) for t in tags))
+    body = F.concat_ws(",", *(shown(f) for f in fields))
+    return frame.select(F.concat(head, F.lit(" "), body, F.lit(" "), F.col(time).cast("string"), F.lit("000")).alias("value")).where(body != "")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path))
