@@ -401,14 +401,45 @@ def test_quality_on_odd_inputs(spark, odd, empty):
 
 
 def slow_cost(roles):
-    best = {None: 0}
+    """The cheapest legal conversation, from all ways to change the turns."""
+    known, best = ("system", "user", "assistant"), [10**9]
+
+    def go(i, built, cost):
+        if cost >= best[0]:
+            return
+        if i == len(roles):
+            for tail in ([], ["assistant"], ["user", "assistant"]):
+                if legal(built + tail):
+                    best[0] = min(best[0], cost + 3 * len(tail))
+            return
+        for to in known:
+            change = 0 if roles[i] == to else 2 if roles[i] in known else 1
+            if built and built[-1] == to:
+                go(i + 1, built, cost + change + 1)
+            go(i + 1, [*built, to], cost + change)
+            for extra in known:
+                go(i + 1, [*built, extra, to], cost + change + 3)
+
+    go(0, [], 0)
+    return best[0]
+
+
+def plain_cost(roles):
+    """Dynamic programming without any of the operator's tables."""
+    known, follows = ("system", "user", "assistant"), {None: "system user", "system": "user", "user": "assistant", "assistant": "user"}
+    costs = {None: 0}
     for role in roles:
         new = {}
-        for state, so_far in best.items():
-            for cost, to, _, _ in chat_format.moves(state, role):
-                new[to] = min(new.get(to, 1 << 30), so_far + cost)
-        best = new
-    return min(c + chat_format.INSERT * len(chat_format.ENDING[s]) for s, c in best.items())
+        for state, cost in costs.items():
+            for to in known:
+                change = cost + (0 if role == to else 2 if role in known else 1)
+                ways = [change + 1] if to == state else []
+                ways += [change] if to in follows[state].split() else []
+                ways += [change + 3 for extra in follows[state].split() if to in follows[extra].split()]
+                if ways:
+                    new[to] = min(new.get(to, 10**9), *ways)
+        costs = new
+    return min(c + {"system": 6, "user": 3, "assistant": 0}[s] for s, c in costs.items())
 
 
 def legal(roles):
@@ -419,20 +450,37 @@ def legal(roles):
 @pytest.mark.parametrize("seed", range(30))
 def test_chat_repair_is_legal_and_cheapest(seed):
     rng = random.Random(seed)
-    roles = [rng.choice(["system", "user", "assistant", "tool", None]) for _ in range(rng.randrange(1, 9))]
-    rows = list(chat_format.repaired(iter([(1, i, r, f"t{i}") for i, r in enumerate(roles)])))
+    roles = [rng.choice(["system", "user", "assistant", "tool", None]) for _ in range(rng.randrange(1, 5))]
+    rows = list(chat_format.repaired([(1, i, r, f"t{i}") for i, r in enumerate(roles)]))
     turns = {r[1]: r[4] for r in rows if r[6] != "end"}
     assert legal([turns[i] for i in sorted(turns)])
     cost = sum(chat_format.INSERT for r in rows if r[6] == "insert") + sum((chat_format.MERGE if r[6] == "merge" else 0) + (0 if r[4] == r[5] else chat_format.RELABEL if r[5] in chat_format.ROLES else chat_format.UNKNOWN) for r in rows if r[3] is not None)
-    assert cost == slow_cost(roles)
+    assert cost == slow_cost(roles) == plain_cost(roles)
     text = "".join(r[7] for r in rows)
     assert all(text.count(f"t{i}") == 1 for i in range(len(roles))) and text.endswith("<|end|>\n")
 
 
-def test_long_conversation_is_streamed():
-    turns = ((7, i, ("user", "assistant")[i % 2], "x") for i in range(5001))
-    rows = list(chat_format.repaired(turns))
-    assert sum(r[6] == "keep" for r in rows) == 5001 and rows[-2][6] == "insert"
+@pytest.mark.parametrize("kind", ["null", "alternating", "mixed"])
+def test_long_conversations_take_bytes(kind):
+    import tracemalloc
+
+    rng = random.Random(4)
+    roles = {"null": [None] * 100_000, "alternating": [("user", "assistant")[i % 2] for i in range(100_001)], "mixed": [rng.choice(["system", "user", "assistant", "x", None]) for _ in range(100_000)]}[kind]
+    repair = chat_format.Repair()
+    tracemalloc.start()
+    for role in roles:
+        repair.add(role)
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(roles)
+    cost, codes = repair.end()
+    tracemalloc.stop()
+    assert cost == plain_cost(roles) and len(codes) == len(roles)
+
+
+def test_long_conversation_in_spark(spark):
+    turns = spark.range(70_000).selectExpr("7L as conv_id", "id as turn", "cast(null as string) as role", "concat('t', id) as text")
+    got = chat_format.chat_format(turns)
+    assert got.where("turn is not null").count() == 70_000 and got.where("action = 'end'").count() == 1
+    assert got.where("action in ('keep', 'relabel')").groupBy("seq").count().where("count > 1").count() == 0
 
 
 def test_chat_on_odd_inputs(spark):

@@ -7,15 +7,19 @@ automaton finds the cheapest repair: turns are kept, joined to the turn before
 nothing is dropped. Ties fall to the earlier of keep, merge, insert and to the
 turn's own role.
 
-Conversations are streamed from sorted partitions. The decisions that all
-surviving paths share are handed on as they are fixed, so that memory does not
-grow with a conversation. The result has one row for each source turn and each
-inserted turn; ``segment`` in the order of (seq, part) is the rendered text.
+Two passes over sorted partitions. The first sees roles only: it keeps one byte
+for each turn and state of the automaton, and hands the cheapest path on as one
+byte for each turn, in chunks. The second has a conversation's chunks before its
+turns, and renders the turns as they stream by. So memory is three bytes for each
+turn of the longest conversation, whatever its roles and texts are. The result
+has one row for each source turn and each inserted turn; ``segment`` in the order
+of (seq, part) is the rendered text.
 
 Defined results: turns sort by (turn, role, text), nulls first; an unknown or
 null role may take any role at a small cost; a null text is rendered empty; rows
-with a null conv_id are one conversation; repeated rows are repeated turns; an
-empty table gives an empty table; other columns are ignored.
+with a null conv_id are one conversation; repeated rows are repeated turns; texts
+of any length are passed on one at a time; an empty table gives an empty table;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import partitions
+from tidewell.llm.common import partitions, tidied
 
 ROLES = ("system", "user", "assistant")
 MERGE, RELABEL, UNKNOWN, INSERT = 1, 2, 1, 3
@@ -36,7 +40,9 @@ LEGAL = {None: ("system", "user"), "system": ("user",), "user": ("assistant",),
 BETWEEN = {(a, b): x for a in LEGAL for b in ROLES for x in ROLES if b not in LEGAL[a] and x in LEGAL[a] and b in LEGAL[x]}
 #: Empty turns after the last, to end with an assistant's.
 ENDING = {None: (), "system": ("user", "assistant"), "user": ("assistant",), "assistant": ()}
-PENDING = 1024
+#: Turns whose decisions go into one row.
+CHUNK, STEPS = 1 << 16, 512
+_STATES, _HOWS = (None, *ROLES), ("keep", "merge", "insert")
 
 
 def moves(state: str | None, role: str | None) -> Iterator[tuple[int, str, str, str | None]]:
@@ -52,40 +58,54 @@ def moves(state: str | None, role: str | None) -> Iterator[tuple[int, str, str,
 
 
 class Repair:
-    """Online dynamic programming over the turns of one conversation."""
+    """Dynamic programming over the roles of one conversation.
+
+    A step depends on the role and on by how much the states' costs differ; both
+    take few values as a rule, so that ``STEPS`` steps at most are remembered.
+    """
+
+    steps: dict = {}
 
     def __init__(self):
-        self.cost: dict[str | None, int] = {None: 0}
-        self.back: list[dict] = []
+        self.least, self.costs, self.back = 0, (0, None, None, None), bytearray()
 
     def add(self, role: str | None) -> None:
-        best: dict = {}
-        for state, so_far in self.cost.items():
-            for cost, to, how, extra in moves(state, role):
-                rank = (so_far + cost, ("keep", "merge", "insert").index(how), to != role, ROLES.index(state) if state else -1)
-                if to not in best or rank < best[to][0]:
-                    best[to] = (rank, state, how, extra)
-        self.cost = {to: x[0][0] for to, x in best.items()}
-        self.back.append({to: x[1:] for to, x in best.items()})
-
-    def path(self, state: str | None) -> list[tuple[str, str, str | None]]:
-        out = []
-        for step in reversed(self.back):
-            before, how, extra = step[state]
-            out.append((state, how, extra))
-            state = before
-        return out[::-1]
-
-    def settled(self) -> list[tuple[str, str, str | None]]:
-        """The decisions that every surviving path shares; they are forgotten."""
-        paths = [self.path(s) for s in self.cost]
-        same = next((i for i, x in enumerate(zip(*paths)) if len(set(x)) > 1), len(self.back))
-        del self.back[:same]
-        return paths[0][:same]
-
-    def end(self) -> tuple[int, list[tuple[str, str, str | None]], tuple[str, ...]]:
-        cost, state = min(((c + INSERT * len(ENDING[s]), s) for s, c in self.cost.items()), key=lambda x: (x[0], ROLES.index(x[1]) if x[1] else -1))
-        return cost, self.path(state), ENDING[state]
+        role = role if role in ROLES else None
+        key = (self.costs, role)
+        if key not in self.steps:
+            best: dict = {}
+            for i, so_far in enumerate(self.costs):
+                if so_far is None:
+                    continue
+                for cost, to, how, _ in moves(_STATES[i], role):
+                    rank = (so_far + cost, _HOWS.index(how), to != role, i)
+                    if to not in best or rank < best[to][0]:
+                        best[to] = (rank, 3 * i + _HOWS.index(how))
+            least = min(x[0][0] for x in best.values())
+            if len(self.steps) >= STEPS:  # costs can drift apart without end
+                self.steps.clear()
+            self.steps[key] = (least, (None, *(best[r][0][0] - least if r in best else None for r in ROLES)), bytes(best[r][1] if r in best else 0 for r in ROLES))
+        least, self.costs, back = self.steps[key]
+        self.least += least
+        self.back += back
+
+    def end(self) -> tuple[int, bytes]:
+        """The least cost, and a byte for each turn: 12 times the new role, plus
+        3 times the state before, plus how the turn joins it."""
+        cost, i = min((c + INSERT * len(ENDING[s]), i) for i, (c, s) in enumerate(zip(self.costs, _STATES)) if c is not None)
+        n = len(self.back) // 3
+        out = bytearray(n)
+        for k in range(n - 1, -1, -1):
+            code = self.back[3 * k + i - 1]
+            out[k] = 12 * (i - 1) + code
+            i = code // 3
+        return self.least + cost, bytes(out)
+
+
+def decision(code: int) -> tuple[str, str, str | None]:
+    """A turn's new role, how it joins, and the role of an inserted turn."""
+    role, before, how = ROLES[code // 12], _STATES[code % 12 // 3], _HOWS[code % 3]
+    return role, how, BETWEEN[before, role] if how == "insert" else None
 
 
 class Renderer:
@@ -120,56 +140,90 @@ class Renderer:
             yield self.conv, self.seq, self.part + 1, None, None, None, "end", "<|end|>\n"
 
 
-def repaired(turns: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows of (conv_id, turn, role, text), sorted, to rows of the result."""
-    key, repair, render, held = (), None, None, []
+def _said(role: str | None) -> str | None:
+    return role.strip().lower() if role else role
+
+
+def rendered(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows of (conv_id, codes, turn, role, text), a conversation's codes before
+    its turns, to rows of the result."""
+    key, render, codes, at = (), None, bytearray(), 0
 
     def finish():
-        _, decisions, empties = repair.end()
-        for x, d in zip(held, decisions):
-            yield from render.turn(*x, d)
-        yield from render.end(empties)
+        yield from render.end(ENDING[ROLES[codes[-1] // 12]] if codes else ())
 
-    for conv, turn, role, text in turns:
+    for conv, more, turn, role, text in rows:
         if key != (conv,):
             if key:
                 yield from finish()
-            key, repair, render, held = (conv,), Repair(), Renderer(conv), []
-        said = role.strip().lower() if role else role
-        repair.add(said)
-        held.append((turn, said, text))
-        if len(held) >= PENDING and len(held) % PENDING == 0:
-            done = repair.settled()
-            for x, d in zip(held, done):
-                yield from render.turn(*x, d)
-            del held[: len(done)]
+            key, render, codes, at = (conv,), Renderer(conv), bytearray(), 0
+        if more is not None:
+            codes += more
+            continue
+        yield from render.turn(turn, _said(role), text, decision(codes[at]))
+        at += 1
     if key:
         yield from finish()
 
 
+def repaired(turns: list[tuple]) -> Iterator[tuple]:
+    """Rows of one conversation (conv_id, turn, role, text), sorted, to rows of
+    the result."""
+    repair = Repair()
+    for _, _, role, _ in turns:
+        repair.add(_said(role))
+    if turns:
+        yield from rendered([(turns[0][0], repair.end()[1], None, None, None), *((c, None, t, r, x) for c, t, r, x in turns)])
+
+
 _OUT = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("part", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("said", pa.string()), ("action", pa.string()), ("segment", pa.string())])
 
 
 def chat_format(turns: DataFrame) -> DataFrame:
     """conv_id, seq, part, turn, role, said (the role before), action, segment.
 
-    One shuffle by conv_id; rows of one conversation are sorted, then streamed.
+    Roles are shuffled by conv_id, then the turns with their decisions; rows of
+    one conversation are sorted, then streamed.
     """
 
+    def decide(batches):
+        key, repair = (), None
+
+        def chunks():
+            codes = repair.end()[1]
+            every = [codes[i : i + CHUNK] for i in range(0, len(codes), CHUNK)]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(every), pa.int64()), pa.array(range(len(every)), pa.int64()), pa.array(every, pa.binary())], ["conv_id", "turn", "codes"])
+
+        for batch in batches:
+            for conv, role in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key != (conv,):
+                    if key:
+                        yield chunks()
+                    key, repair = (conv,), Repair()
+                repair.add(_said(role))
+        if key:
+            yield chunks()
+
     def run(batches):
         def rows():
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns))
+                for i in range(0, batch.num_rows, 1000):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(i, 1000).columns))
 
-        out = []
-        for row in repaired(rows()):
+        out, held = [], 0
+        for row in rendered(rows()):
             out.append(row)
-            if len(out) >= 5000:
+            held += len(row[-1])
+            if len(out) >= 5000 or held > 1 << 22:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)], schema=_OUT)
-                out = []
+                out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)], schema=_OUT)
 
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    dealt = rows.repartition(partitions(turns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(run, "conv_id long, seq long, part long, turn long, role string, said string, action string, segment string")
+    n = partitions(turns)
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    roles = rows.select("conv_id", "turn", "role").repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role")
+    codes = roles.select("conv_id", "role").mapInArrow(tidied(decide), "conv_id long, turn long, codes binary")
+    both = codes.selectExpr("conv_id", "0 as kind", "codes", "turn", "null as role", "null as text").unionByName(rows.selectExpr("conv_id", "1 as kind", "null as codes", "turn", "role", "text"))
+    dealt = both.repartition(n, "conv_id").sortWithinPartitions("conv_id", "kind", "turn", "role", "text")
+    return dealt.select("conv_id", "codes", "turn", "role", "text").mapInArrow(tidied(run), "conv_id long, seq long, part long, turn long, role string, said string, action string, segment string")
