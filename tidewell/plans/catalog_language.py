@@ -247,7 +247,7 @@ def castor_local_median(spark, sf_dir):
 def line_protocol_round_trip(spark, sf_dir):
     lines = lines_of(events(spark, sf_dir).frame, "events", ["event_type", "user_id"], ["value"])
     back = parse_lines(lines)
-    return back.select(F.col("tags")["event_type"].alias("event_type"), F.col("tags")["user_id"].cast("long").alias("user_id"), (F.col("time_ns") / 1000).cast("long").alias("time"), number(F.col("fields")["value"]).alias("value"))
+    return back.select(F.col("tags")["event_type"].alias("event_type"), F.col("tags")["user_id"].cast("long").alias("user_id"), F.expr("(time_ns - pmod(time_ns, 1000)) div 1000").alias("time"), number(F.col("fields")["value"]).alias("value"))
 
 
 @query(f"with p as (select event_type, count(*) as n, sum(value) as s, max(value) as m from {E} group by 1) select event_type, n, round(s, 4) as s, m from p")

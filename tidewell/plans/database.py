@@ -86,7 +86,7 @@ class Database:
     def insert(self, lines: DataFrame, column: str = "value") -> None:
         """Line protocol: each measurement of the lines is written by itself."""
         rows = parse_lines(lines, column).where("size(fields) > 0")
-        time = F.coalesce(F.floor(F.col("time_ns") / 1000), F.lit(self._now())).cast("long").alias("time")
+        time = F.coalesce(F.expr("(time_ns - pmod(time_ns, 1000)) div 1000"), F.lit(self._now())).cast("long").alias("time")
         keys = rows.groupBy("measurement").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("tags"))))).alias("tags"), F.collect_set(F.map_keys("fields")).alias("f"), F.map_from_entries(F.array_distinct(F.flatten(F.collect_set(F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("k"), F.rlike(e["value"], F.lit('^"')).cast("string").alias("v"))))))).alias("quoted"))
         for row in keys.collect():  # as many as there are measurements
             names = sorted({n for ns in row["f"] for n in ns})
