@@ -12,10 +12,13 @@ contaminated. A stretch of text that holds too few of the item's words to reach
 the threshold, whatever their order, is not aligned; that loses nothing.
 
 The benchmark goes to every worker in blocks of ``BLOCK_WORDS`` words at most,
-each with its own pass over the texts, so that what is broadcast is bounded.
+each with its own two passes over the texts, so that what is broadcast or held by
+the driver is bounded: a block is done before the next one is read.
 
 Defined results: null and empty texts have no words and match nothing, nor do
-items of fewer words than a seed; repeated rows of one doc_id give one row for
+items of fewer words than a seed; of equally good places the first counts; very
+long texts are held one at a time, and only windows around seeds are aligned;
+repeated rows of one doc_id give one row for
 each item; an empty table on either side gives an empty result; other columns
 are ignored.
 """
@@ -23,6 +26,7 @@ are ignored.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -30,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import cut, tidied
+
 SEED_WORDS, SHARE, THRESHOLD = 3, 0.67, 0.5
 BLOCK_WORDS = 2_000_000
 _BETWEEN = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -131,18 +137,20 @@ class Seeds:
         return out
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[int, list[bytes]]]]:
-    """The items in blocks of at most so many words (or one larger item)."""
-    blocks, size = [[]], 0
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """The items in blocks of at most so many words (or one larger item); the
+    driver holds one block at a time."""
+    block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").distinct().orderBy("item_id", "text")
     for item, text in rows.toLocalIterator():
         ws = words(text)
-        if blocks[-1] and size + len(ws) > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, ws))
+        if block and size + len(ws) > block_words:
+            yield block
+            block, size = [], 0
+        block.append((item, ws))
         size += len(ws)
-    return [b for b in blocks if b]
+    if block:
+        yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEED_WORDS, share: float = SHARE, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -154,7 +162,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEE
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    for items in _blocks(benchmark, block_words):
+    blocks = _blocks(benchmark, block_words)
+    items = next(blocks, None)
+    while items is not None:
+        after = next(blocks, None)
         seeds = Seeds(items, seed_words)
         if seeds.base**seed_words >= 1 << 62:
             raise ValueError("a block has too many words for its n-gram codes; lower block_words")
@@ -168,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEE
                     total.update(dict(zip(codes.tolist(), n.tolist())))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
-        counts = dict(rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect())
+        counts = dict(rows.mapInArrow(tidied(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect())
         seeds.rank(counts, share)
         ranked = spark.sparkContext.broadcast(seeds)
 
@@ -178,8 +189,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEE
                 columns = list(zip(*found)) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
-        part = rows.mapInArrow(match, schema)
+        sent.unpersist()
+        part = rows.mapInArrow(tidied(match), schema)
+        if after is not None or out is not None:  # of several blocks, each is done before the next
+            part = cut(part)
+            ranked.unpersist()
         out = part if out is None else out.unionByName(part)
+        items = after
     if out is None:
         return spark.createDataFrame([], schema)
     best = F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"), -F.col("end_word"))).alias("best")

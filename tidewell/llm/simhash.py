@@ -47,8 +47,8 @@ from tidewell.llm.components import component_roots
 SHINGLE_WORDS, DIFFERING_BITS, SEED = 4, 4, 42
 #: For similarities: words of a shingle, the threshold, bytes of a fingerprint, lists and their positions.
 NEAR_WORDS, LEAST, WIDE, LISTS, SHARED = 5, 0.8, 96, 256, 3
-#: Lists that large groups are first joined by, before all lists are compared.
-FIRST_LISTS = 8
+#: Rounds in which each node is first joined with the nearest one, lists in each, nodes compared at once.
+ROUNDS, FIRST_LISTS, TOGETHER = 3, 4, 2048
 #: Shingles that are hashed at once, so that very long texts need little memory.
 BLOCK = 100_000
 #: Odd numbers that make words of a wide fingerprint of a shingle's hash.
@@ -234,74 +234,110 @@ def _wide(docs: DataFrame, words_each: int) -> DataFrame:
     return keyed(docs).select("_id", "_digest", "_text").mapInArrow(tidied(run), "_id long, _digest long, node long, size long, fp binary")
 
 
-def _candidates(nodes: DataFrame, lists: int, least: float, chained: bool) -> DataFrame:
-    """Pairs a, b of nodes that share a list but no root yet.
+def _keys(fp: np.ndarray, chosen: np.ndarray, first: int = 0) -> np.ndarray:
+    """The list of each fingerprint (a row of bytes) for each choice of positions."""
+    number = first + np.arange(len(chosen), dtype=np.int64)
+    return number << 24 | fp[:, chosen[:, 0]].astype(np.int64) << 16 | fp[:, chosen[:, 1]].astype(np.int64) << 8 | fp[:, chosen[:, 2]]
 
-    ``nodes`` has node, size, fp, root. ``chained``: of a list, only neighbours
-    in a pseudo-random order, to begin with; else all pairs of its roots.
+
+def _in_lists(batches, found_in):
+    """Streams sorted rows (key first) list by list; ``found_in`` gets the columns
+    of a list of two or more and returns arrays a and b of pairs."""
+    held = None
+
+    def batch_of(found):
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.frombuffer(b"".join(c.to_pylist()), f"V{WIDE}") if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+        begins, found = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]]), []
+        for a, b in zip(begins[:-1], begins[1:]):
+            if b - a > 1:
+                found += found_in(*(c[a:b] for c in columns[1:]))
+        held = [c[begins[-1] :].copy() for c in columns]
+        if found:
+            yield batch_of(found)
+    if held is not None and len(held[0]) > 1:
+        yield batch_of(list(found_in(*held[1:])))
+
+
+def _nearest(nodes: DataFrame, first: int, lists: int, least: float) -> DataFrame:
+    """Pairs a, b: in each of a few lists, each node with the nearest one that
+    has another root (of ``TOGETHER`` at a time, where a list is longer)."""
+    chosen, most = positions()[first : first + lists], most_bits(least)
+
+    def enter(batches):
+        for batch in batches:
+            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, WIDE)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), len(chosen)))
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(fp, chosen, first).ravel()), *(batch.column(k).take(row) for k in (0, 1, 3, 2))], ["key", "node", "size", "root", "fp"])
+
+    def found_in(node, size, root, fp):
+        if (root == root[0]).all():
+            return []
+        out, order = [], np.argsort(node.view(np.uint64) * _ODD[0], kind="stable")
+        for start in range(0, len(node), TOGETHER):
+            some = order[start : start + TOGETHER]
+            words = np.ascontiguousarray(fp[some]).view(np.uint64).reshape(len(some), -1)
+            for at in range(0, len(some), 64):
+                mine = some[at : at + 64]
+                away = np.bitwise_count(words[at : at + 64, None] ^ words[None]).sum(2, dtype=np.int32)
+                alike = np.minimum(size[mine, None], size[None, some]) >= least * np.maximum(size[mine, None], size[None, some])
+                away[(root[mine, None] == root[None, some]) | ~alike] = 1 << 30
+                best = away.argmin(1)
+                ok = away[np.arange(len(mine)), best] <= most
+                out.append((node[mine[ok]], node[some[best[ok]]]))
+        return out
+
+    entered = nodes.select("node", "size", "fp", "root").mapInArrow(tidied(enter), "key long, node long, size long, root long, fp binary")
+    dealt = entered.repartition(partitions(nodes), "key").sortWithinPartitions("key")
+    met = dealt.mapInArrow(tidied(lambda batches: _in_lists(batches, found_in)), "a long, b long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _candidates(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs a, b of all nodes that share a list but no root.
+
+    ``nodes`` has node, size, fp, root. Rows of a list carry the first word of
+    their fingerprints, by which most unrelated ones are told apart at once.
     """
-    chosen = positions(lists)
-    some = int(8 * 8 * (p := np.arccos(2 * least / (1 + least)) / np.pi) + 4 * (64 * p * (1 - p)) ** 0.5)
+    chosen = positions()
+    p = np.arccos(2 * least / (1 + least)) / np.pi
+    some = int(64 * p + 4 * (64 * p * (1 - p)) ** 0.5)
 
     def enter(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n = part.num_rows
-                fp = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, WIDE)
-                keys = np.arange(lists, dtype=np.int64) << 24 | fp[:, chosen[:, 0]].astype(np.int64) << 16 | fp[:, chosen[:, 1]].astype(np.int64) << 8 | fp[:, chosen[:, 2]]
-                word = np.repeat(fp[:, :8].copy().view(np.int64), lists)
-                each = [np.repeat(part.column(k).to_numpy(zero_copy_only=False), lists) for k in (0, 1, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(each[0]), pa.array(each[1].astype(np.int32)), pa.array(each[2]), pa.array(word)], ["key", "node", "size", "root", "word"])
-
-    def pairs_of(key, node, size, root, word):
-        if len(node) < 2 or (root == root[0]).all():
-            return ()
-        if chained and len(node) > 3:
-            order = np.argsort(node.view(np.uint64) * np.uint64(2 * int(key) + 1), kind="stable")
-            i, j = order[:-1], order[1:]
-            ok = (root[i] != root[j]) & near(size[i], size[j], word[i], word[j])
-            return ((node[i[ok]], node[j[ok]]),)
+                fp = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, WIDE)
+                word = np.repeat(fp[:, :8].copy().view(np.int64), LISTS)
+                node, size, root = (np.repeat(part.column(k).to_numpy(zero_copy_only=False), LISTS) for k in (0, 1, 3))
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(fp, chosen).ravel()), pa.array(node), pa.array(size.astype(np.int32)), pa.array(root), pa.array(word)], ["key", "node", "size", "root", "word"])
+
+    def found_in(node, size, root, word):
+        if (root == root[0]).all():
+            return []
         out = []
-        for at in range(len(node)):
+        for at in range(len(node) - 1):
             rest = slice(at + 1, None)
-            ok = (root[rest] != root[at]) & near(size[rest], size[at], word[rest], word[at])
+            ok = root[rest] != root[at]
+            # A set that is too small can't be similar; of unrelated texts, the first word differs in half its bits.
+            ok &= np.minimum(size[rest], size[at]) >= least * np.maximum(size[rest], size[at])
+            ok &= np.bitwise_count((word[rest] ^ word[at]).view(np.uint64)) <= some
             if ok.any():
                 met = node[rest][ok]
                 out.append((np.full(len(met), node[at]), met))
         return out
 
-    def near(size_a, size_b, word_a, word_b):
-        # A set that is too small can't be similar; of unrelated texts, the first word differs in half its bits.
-        return (np.minimum(size_a, size_b) >= least * np.maximum(size_a, size_b)) & (np.bitwise_count((word_a ^ word_b).view(np.uint64)) <= some)
-
-    def meet(batches):
-        held = None
-
-        def batch_of(found):
-            a, b = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else ((), ())))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
-            key, begins, found = columns[0], np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]]), []
-            ends = np.append(begins[1:], len(key))
-            for a, b in zip(begins[:-1], ends[:-1]):
-                if b - a > 1:
-                    found += pairs_of(key[a], *(c[a:b] for c in columns[1:]))
-            held = [c[begins[-1] :].copy() for c in columns]
-            if found:
-                yield batch_of(found)
-        if held is not None:
-            yield batch_of(list(pairs_of(held[0][0], *held[1:])))
-
     entered = nodes.select("node", "size", "fp", "root").mapInArrow(tidied(enter), "key long, node long, size int, root long, word long")
     dealt = entered.repartition(partitions(nodes), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(tidied(meet), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = dealt.mapInArrow(tidied(lambda batches: _in_lists(batches, found_in)), "a long, b long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_each: int, least: float) -> DataFrame:
@@ -336,16 +372,19 @@ def near_copies(docs: DataFrame, *, words_each: int = NEAR_WORDS, least: float =
     """Rows (_id, _digest, node) and node, root of texts that chains of links of
     similarity ``least`` or more connect; texts without words are copies.
 
-    Large groups are first joined by a few lists, so that all lists need compare
-    only what is still apart.
+    For ``ROUNDS`` rounds each node is joined with the nearest one of another
+    root in a few lists, so that large groups grow together at a few links for
+    each member; all lists then compare, pair by pair, only what is still apart.
     """
     rows = cut(_wide(docs, words_each))
     first = F.struct(F.col("_id").isNull(), "_id", "_digest")
     nodes = cut(rows.groupBy("node").agg(F.min(first).alias("r"), F.first("size").alias("size"), F.first("fp").alias("fp")).select("node", "size", "fp", "r._id", "r._digest"))
     worded = nodes.where("size > 0")
     found, roots = None, nodes.select("node", F.col("node").alias("root"))
-    for lists, chained in ((FIRST_LISTS, True), (LISTS, False)):
-        good = _verified(_candidates(worded.join(roots.hint("merge"), "node"), lists, least, chained), nodes, docs, words_each, least)
+    for turn in range(ROUNDS + 1):
+        rooted = worded.join(roots.hint("merge"), "node")
+        pairs = _nearest(rooted, turn * FIRST_LISTS, FIRST_LISTS, least) if turn < ROUNDS else _candidates(rooted, least)
+        good = _verified(pairs, nodes, docs, words_each, least)
         found = good if found is None else found.union(good)
         linked = component_roots(found, "a", "b")
         roots = cut(nodes.select("node").join(linked.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")))

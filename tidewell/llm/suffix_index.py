@@ -20,7 +20,14 @@ as well, in the same text or another. The string that starts at a byte is the
 A run's digest and a suffix's fingerprint are 64-bit hashes that are compared
 within one file only.
 
-Defined results: a null text counts as empty; texts under ``length`` bytes keep
+Within a task, strings come file by file, and a family lives as long as its files
+do, so that a task holds ``FAMILY`` bytes of strings or one file's. A file is one
+gram: where very many different runs share it, its task sorts them by spilling and
+then holds their fingerprints.
+
+Defined results: a null text counts as empty; very long texts are hashed a block
+at a time, whose ends overlap; ties do not matter, as all copies of a string go;
+texts under ``length`` bytes keep
 everything; repeated rows match each other; an empty table gives an empty table;
 other columns of the input are ignored.
 """
@@ -35,9 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, partitions
+from tidewell.llm.common import cut, partitions, tidied
 
 LENGTH, GRAM = 200, 48
+#: Bytes of strings after which a family is given up, once its last file has ended.
+FAMILY = 1 << 24
 #: Bytes of a text that are hashed at once; the next block overlaps.
 BLOCK = 1 << 20
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -213,7 +222,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and with the id a digest of the text to tell rows apart."""
+    """doc_id, text, and a digest of both to tell rows apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.withColumn("of", F.xxhash64("doc_id", "text"))
 
@@ -230,7 +239,7 @@ def suffix_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 of = np.repeat(np.array([k for k, _ in found], np.int64), [len(x[0]) for _, x in found])
                 yield pa.RecordBatch.from_arrays([_signed(files), _signed(digests), pa.array(of), pa.array(starts.astype(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(own)], ["file", "digest", "of", "start", "n", "own"])
 
-    return _keyed(docs).mapInArrow(run, "file long, digest long, of long, start long, n int, own boolean")
+    return _keyed(docs).mapInArrow(tidied(run), "file long, digest long, of long, start long, n int, own boolean")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -259,22 +268,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(ofs, pa.int64()), pa.array(starts, pa.int64()), pa.array(strings, pa.binary())], ["file", "of", "start", "bytes"])
 
     texts = _keyed(docs).select("text", "of").join(lists, "of").select("text", "of", "runs")
-    strings = texts.mapInArrow(fetch, "file long, of long, start long, bytes binary").repartition(partitions(docs), "file")
+    strings = texts.mapInArrow(tidied(fetch), "file long, of long, start long, bytes binary").repartition(partitions(docs), "file").sortWithinPartitions("file")
 
     def scan(batches):
-        places = []
+        held, size = [], 0
 
-        def parts():
-            for batch in batches:
-                places.append((batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)))
-                yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(3).to_pylist()
+        def settle():
+            of, start = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (1, 2))
+            parts = ((b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(3).to_pylist()) for b in held)
+            row, a, b = repeated_in(parts, length)
+            return pa.RecordBatch.from_arrays([pa.array(of[row]), pa.array(start[row] + a), pa.array(start[row] + b + length - 1)], ["of", "start", "stop"])
 
-        row, a, b = repeated_in(parts(), length)
-        if len(row):
-            of, start = (np.concatenate(x) for x in zip(*places))
-            yield pa.RecordBatch.from_arrays([pa.array(of[row]), pa.array(start[row] + a), pa.array(start[row] + b + length - 1)], ["of", "start", "stop"])
-
-    return whole.unionByName(strings.mapInArrow(scan, "of long, start long, stop long"))
+        # Rows come file by file: a family is given up once its files have ended.
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                files = part.column(0).to_numpy(zero_copy_only=False)
+                if held and size > FAMILY:
+                    ended = int(np.searchsorted(files, held[-1].column(0)[-1].as_py(), "right")) if files[0] == held[-1].column(0)[-1].as_py() else 0
+                    if ended < part.num_rows:
+                        if ended:
+                            held.append(part.slice(0, ended))
+                        yield settle()
+                        held, size, part = [], 0, part.slice(ended)
+                held.append(part)
+                size += part.nbytes
+        if held:
+            yield settle()
+
+    return whole.unionByName(strings.mapInArrow(tidied(scan), "of long, start long, stop long"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -311,4 +333,4 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(kinds), kinds)], names)
 
     joined = _keyed(docs).join(spans, "of", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>" + ", rest binary" * with_rest)
+    return joined.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>" + ", rest binary" * with_rest)

@@ -4,6 +4,9 @@ Only DataFrame and SQL functions are used. Host and path are taken apart by
 fixed positions; their character n-grams are hashed into buckets; the weights
 are fitted in the JVM to a small labelled table.
 
+Of rules that are equally long the later one in the list decides; a url of any
+length is taken apart whole.
+
 Defined results: a null url, or one without ``://``, has an empty host and path
 and no n-grams, so that the model's bias alone decides; repeated rows come back
 repeated; an empty table gives an empty table; an empty labelled table blocks
@@ -98,9 +101,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel) -> Da
     return model.scored(parts).select("page_id", "host", "path", "rule", F.coalesce("said", learnt).alias("verdict"), "p_block")
 
 
-#: The small labelled table: words that hosts and paths are named after.
-BLOCKED = ("casino-royal", "lucky-casino", "spam-mill", "bulk-spam", "cheap-meds", "cheap-tickets-pills", "pills-online", "adult-cams", "xx-adult", "ads-server", "ad-track", "click-tracker", "sports-bets", "free-slots", "bets-online", "malware-drop", "phish-login", "free-loans", "spammer-hub", "spam-offers", "pill-shop", "pillstore", "the-casino", "ad-clicks")
-ALLOWED = ("blog", "news", "docs", "wiki", "library", "museum", "school", "science", "weather", "garden", "history", "recipes", "thereon", "station", "another", "lesson", "river", "thorn", "strand", "therapy", "the-times", "northern", "anthem", "sonnet", "heather", "tinder-box", "rather", "theory")
+#: The small labelled table: general words that hosts are named after.
+BLOCKED = ("casino", "poker", "betting", "bets", "slots", "lottery", "spam", "spammer", "bulkmail", "pills", "pharma", "viagra", "meds", "adult", "xxx", "cams", "escorts", "ads", "adserver", "tracker", "tracking", "clicks", "popups", "malware", "phishing", "warez", "cracks", "torrents", "loans", "payday", "replica", "jackpot")
+ALLOWED = ("blog", "news", "docs", "wiki", "library", "museum", "school", "science", "weather", "garden", "history", "recipes", "travel", "music", "books", "health", "cooking", "photos", "university", "government", "parks", "family", "research", "maps", "language", "gallery", "theatre", "culture", "nature", "forum", "letters", "radio")
+JOINED = ("{}", "my{}", "the-{}", "{}-online", "{}1", "best{}")
 PATHS = ("en/{}", "fr/{}.html", "de/{}/", "es/{}?page=2")
 
 
@@ -110,6 +114,6 @@ def labelled_table(spark: SparkSession) -> DataFrame:
     for block, words in ((1, BLOCKED), (0, ALLOWED)):
         for i, word in enumerate(words):
             for k, path in enumerate(PATHS):
-                host = f"{('', 'www.', 'm.', 'blog.')[(i + k) % 4]}{word}.example.{('com', 'net', 'org')[(i + k) % 3]}"
+                host = f"{('', 'www.', 'm.', 'web.')[(i + k) % 4]}{JOINED[(i + k) % len(JOINED)].format(word)}.example.{('com', 'net', 'org')[(i + k) % 3]}"
                 rows.append(f"('http://{host}/{path.format(17 * (i + 1) + k)}', {block}.0D)")
     return spark.sql(f"select * from values {', '.join(rows)} as t(url, block)")

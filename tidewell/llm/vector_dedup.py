@@ -11,6 +11,12 @@ exactly as well, a block of queries at a time, in double precision. So all links
 between nodes that share a shard are found; what can be missed are links of nodes
 that share none.
 
+Shards hold ``SHARD`` nodes on average, as centres grow with the rows; beyond
+``CENTRES`` centres in all (6.5 million distinct vectors) shards grow instead, and
+so does one of a dense group. A shard's task holds its vectors, and compares them
+a block of ``PRODUCTS`` at a time, so that its memory stays in proportion to them;
+only its time grows with their square. Nothing is dropped either way.
+
 A link is counted in the first shard that both its nodes are in, and only the
 counts leave the shard. For components, links are reduced to a spanning forest.
 
@@ -33,10 +39,15 @@ from tidewell.llm.components import component_roots
 
 THRESHOLD, SHARD, OVERLAP = 0.98, 800, 3
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
-#: Most vectors that centres are fitted to, and most centres for a label.
-SAMPLE, CENTRES = 40_000, 512
-#: Queries that are compared at once with all nodes of their shard.
-QUERIES = 512
+#: Most vectors that centres are fitted to, and most centres for all labels, as they are broadcast.
+SAMPLE, CENTRES = 40_000, 8192
+#: Products that are held at once when queries are compared with the nodes of their shard.
+PRODUCTS = 1 << 22
+
+
+def queries(n: int) -> int:
+    """How many queries are compared at once with ``n`` nodes."""
+    return max(1, min(512, PRODUCTS // max(1, n)))
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -48,7 +59,8 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     """Spherical k-means on unit rows; the start is spread over the sample."""
     centres = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        nearest = (sample @ centres.T).argmax(1)
+        step = queries(k)
+        nearest = np.concatenate([(sample[at : at + step] @ centres.T).argmax(1) for at in range(0, len(sample), step)])
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, sample)
         norm = np.sqrt((sums * sums).sum(1, keepdims=True))
@@ -60,8 +72,8 @@ def pruned(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, al
     """The adjacency lists of a shard's robust-pruned graph."""
     n, out = len(x), []
     top = min(candidates, n - 1)
-    for at in range(0, n, 512):
-        near = x[at : at + 512] @ x.T
+    for at in range(0, n, queries(n)):
+        near = x[at : at + queries(n)] @ x.T
         for i in range(len(near)):
             near[i, at + i] = -2
         best = np.argpartition(-near, top - 1, 1)[:, :top] if top else np.empty((len(near), 0), int)
@@ -88,8 +100,8 @@ def counted(x: np.ndarray, of: np.ndarray, copies: np.ndarray, here: int, thresh
     of each node; a link counts in the first shard that both its nodes are in.
     """
     out = np.zeros(len(x), np.int64)
-    for at in range(0, len(x), QUERIES):
-        close = x[at : at + QUERIES] @ x.T >= threshold
+    for at in range(0, len(x), queries(len(x))):
+        close = x[at : at + queries(len(x))] @ x.T >= threshold
         close[np.arange(len(close)), at + np.arange(len(close))] = False
         for i in np.flatnonzero(close.any(1)):
             js = np.flatnonzero(close[i])
@@ -126,9 +138,9 @@ def forest(x: np.ndarray, lists: list[np.ndarray], threshold: float) -> list[tup
     for i, near in enumerate(lists):
         join(i, near[x[near] @ x[i] >= threshold] if len(near) else near)
     roots = np.array([root(i) for i in range(len(x))], np.int64)
-    for at in range(0, len(x), QUERIES):
-        close = x[at : at + QUERIES] @ x.T >= threshold
-        close &= roots[at : at + QUERIES, None] != roots[None]
+    for at in range(0, len(x), queries(len(x))):
+        close = x[at : at + queries(len(x))] @ x.T >= threshold
+        close &= roots[at : at + len(close), None] != roots[None]
         for i in np.flatnonzero(close.any(1)):
             js = np.flatnonzero(close[i])
             join(int(at + i), js[np.unique(roots[js], return_index=True)[1]])
@@ -164,10 +176,12 @@ def _centres(reps: DataFrame, shard: int) -> dict[tuple, np.ndarray]:
     rows: dict[tuple, list[int]] = {}
     for i, key in enumerate(zip(labels, dims)):
         rows.setdefault(key, []).append(i)
+    # Centres grow with a label's rows; only all of them together are bounded.
+    each = max(shard, -(-total // CENTRES))
     for key, size in sizes.items():
         if key in rows:
             x = unit_rows(_matrix(column.take(pa.array(rows[key])), key[1]))
-            out[key] = fit_centres(x, min(CENTRES, len(x), -(-size // shard)))
+            out[key] = fit_centres(x, min(len(x), -(-size // each)))
     return out
 
 
@@ -188,8 +202,8 @@ def shards(reps: DataFrame, centres, overlap: int) -> DataFrame:
                     where += [0] * len(members)
                     lists += [[0]] * len(members)
                     continue
-                near = unit_rows(_matrix(batch.column(4).take(pa.array(members)), key[1])) @ c.T
-                best = np.argsort(-near, 1, kind="stable")[:, :overlap]
+                x, step = unit_rows(_matrix(batch.column(4).take(pa.array(members)), key[1])), queries(len(c))
+                best = np.concatenate([np.argsort(-(x[at : at + step] @ c.T), 1, kind="stable")[:, :overlap] for at in range(0, len(x), step)])
                 for nth in range(best.shape[1]):
                     rows += members
                     where += best[:, nth].tolist()
