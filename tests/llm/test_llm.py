@@ -373,10 +373,15 @@ def test_suffix_family_merges():
     assert sum(sizes) == 320 and family.merges and len(sizes) <= 8 and sizes == sorted(sizes, reverse=True)
 
 
-def test_url_parts_and_rules(spark):
+@pytest.fixture(scope="module")
+def url_model(spark):
+    return url_filter.UrlModel(url_filter.labelled_table(spark))
+
+
+def test_url_parts_and_rules(spark, url_model):
     urls = ["HTTP://A.Example.ORG/es/1?x#y", "http://example.org/en/12", "http://notexample.org/es/", "http://x.com/fr/?q", "http://com/de/", None, "nothing", "a://h#f", "http://org", "http://é.ORG/" + "p" * 20_000, "http://x.org?://y"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
-    got = [tuple(r)[1:5] for r in url_filter.judge(pages, queries.RULES, url_filter.UrlModel(url_filter.labelled_table(spark))).orderBy("page_id").collect()]
+    got = [tuple(r)[1:5] for r in url_filter.judge(pages, queries.RULES, url_model).orderBy("page_id").collect()]
     assert got[0] == ("a.example.org", "/es/1", "example.org/es/", "block") and got[1][2:] == ("example.org/en/1", "block")
     assert got[2][2:] == ("org/", "allow") and got[3][2:] == ("com/fr/", "allow") and got[4][2:] == ("com/de/", "block")
     assert got[5][:3] == got[6][:3] == ("", "", None) and got[7][:3] == ("h", "", None) and got[8][2] is None and got[9][0] == "é.org" and got[10][:2] == ("x.org", "")
@@ -390,16 +395,16 @@ UNSEEN = {
 }
 
 
-def test_url_model_on_unseen_hosts(spark):
+def test_url_model_on_unseen_hosts(spark, url_model):
     rows = [(f"http://{host}/{('en/7', '', 'x/y?z', 'de/1.html')[i % 4]}", y) for y, hosts in UNSEEN.items() for i, host in enumerate(hosts)]
     pages = spark.createDataFrame([(u, u, y) for u, y in rows], "page_id string, url string, y int")
-    got = {r["page_id"]: r["p_block"] >= 0.5 for r in url_filter.judge(pages, [], url_filter.UrlModel(url_filter.labelled_table(spark))).collect()}
+    got = {r["page_id"]: r["p_block"] >= 0.5 for r in url_filter.judge(pages, [], url_model).collect()}
     assert sum(got[u] == bool(y) for u, y in rows) >= 0.85 * len(rows), [u for u, y in rows if got[u] != bool(y)]
 
 
-def test_urls_with_clashing_columns_and_repeats(spark):
+def test_urls_with_clashing_columns_and_repeats(spark, url_model):
     pages = spark.createDataFrame([(1, "http://a.org/x", "h", 0.1, [1.0]), (1, "http://a.org/x", "h", 0.1, [1.0]), (None, None, None, None, None)], "page_id long, url string, host string, p_block double, grams array<double>")
-    got = url_filter.judge(pages, queries.RULES, url_filter.UrlModel(url_filter.labelled_table(spark))).collect()
+    got = url_filter.judge(pages, queries.RULES, url_model).collect()
     assert sorted(map(str, got))[0] == sorted(map(str, got))[1] and len(got) == 3 and {r["host"] for r in got} == {"a.org", ""}
 
 

@@ -49,13 +49,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 def grams(host: Column, path: Column) -> Column:
     """The distinct character n-grams, those of host and path apart."""
-    found = []
-    for tag, text in (("h", host), ("p", path)):
-        letters = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
-        for n in GRAMS:
-            gram = _gram(letters, n, tag)
-            found.append(F.filter(F.transform(letters, gram), lambda g: g.isNotNull()))
-    return F.when((host == "") & (path == ""), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(*found)))
+    found = F.concat(*(_grams_of(text, tag) for tag, text in (("h", host), ("p", path))))
+    return F.when((host == "") & (path == ""), F.array().cast("array<string>")).otherwise(F.array_distinct(found))
+
+
+def _grams_of(text: Column, tag: str) -> Column:
+    letters = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
+    # As the variable of an outer transform, the letters are taken apart once.
+    of_all = lambda every: F.concat(*(F.filter(F.transform(every, _gram(every, n, tag)), lambda g: g.isNotNull()) for n in GRAMS))
+    return F.flatten(F.transform(F.array(letters), of_all))
 
 
 def _gram(letters: Column, n: int, tag: str):
