@@ -49,6 +49,8 @@ SHINGLE_WORDS, DIFFERING_BITS, SEED = 4, 4, 42
 NEAR_WORDS, LEAST, WIDE, LISTS, SHARED = 5, 0.8, 96, 256, 3
 #: Rounds in which each node is first joined with the nearest one, lists in each, nodes compared at once.
 ROUNDS, FIRST_LISTS, TOGETHER = 3, 4, 2048
+#: Most keys of texts that are broadcast (24 bytes each).
+SENT = 200_000
 #: Shingles that are hashed at once, so that very long texts need little memory.
 BLOCK = 100_000
 #: Odd numbers that make words of a wide fingerprint of a shingle's hash.
@@ -354,7 +356,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_each: i
     side = lambda n: nodes.select(F.col("node").alias(n), F.col("fp").alias(f"f{n}"))
     kept = cut(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "fa", "fb").mapInArrow(tidied(tally), "a long, b long"))
     asked = kept.select(F.col("a").alias("node")).union(kept.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(asked.hint("merge"), "node").select(F.col("_id").alias("_wid"), F.col("_digest").alias("_wdigest"), "node")
+    wanted = cut(nodes.join(asked.hint("merge"), "node").select(F.col("_id").alias("_wid"), F.col("_digest").alias("_wdigest"), "node"))
+    # Keys that are counted and few go to the texts; else the texts are shuffled to them.
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted.hint("merge")
 
     def run(batches):
         for batch in batches:
