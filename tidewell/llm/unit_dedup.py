@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import fresh, keyed, tidied
+from tidewell.llm.common import fresh, keyed, stored, tidied
 
 RUN_WORDS, LINE_WORDS = 20, 5
 _SENTENCE = re.compile(r"[^\s][^.!?\n]*(?:[.!?]+(?!\s|\Z)[^.!?\n]*)*[.!?]*")
@@ -96,8 +96,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     ranked = units(docs).withColumn("salt", salt).withColumn("rank", F.rank().over(group.orderBy(*order))).withColumn("n", F.lead("h1").over(group.orderBy(*order)).isNotNull())
     later = F.col("known") | (F.col("rank") > 1)
     shared = ranked.where(later | F.col("led") | F.col("n")).select("_id", "_digest", *place, "h1", later.alias("later"))
-    # Of repeated rows, a unit comes once. Both uses below read the same exchange.
-    rows = shared.groupBy("_id", "_digest").agg(F.array_sort(F.collect_set(F.struct(*place, "h1", "later"))).alias("units"))
+    # Of repeated rows, a unit comes once.
+    rows = stored(shared.groupBy("_id", "_digest").agg(F.array_sort(F.collect_set(F.struct(*place, "h1", "later"))).alias("units")))
     pair = F.transform(F.sequence(F.lit(1), F.size("units") - 1), lambda i: F.struct(F.get("units", i - 1).alias("a"), F.get("units", i).alias("b")))
     pairs = rows.where(F.size("units") > 1).select("_id", "_digest", F.explode(pair).alias("p")).where("p.b.unit = p.a.unit + 1")
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_digest", F.col("p.a.unit").alias("unit"))).alias("f")
