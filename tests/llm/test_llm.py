@@ -195,6 +195,29 @@ def test_near_dedup_stage_removes_edited_copies(spark, odd):
     assert simhash.one_of_each(odd).where("doc_id is null").count() == 1
 
 
+def test_near_copies_of_a_cloud_make_no_pairs(spark, monkeypatch):
+    rng, made, plain = random.Random(12), [], simhash.cut
+    base = prose(230, 802).split()
+    # Most of these copies are just not similar enough to each other, and a few are.
+    texts = [" ".join(edited(base, 4, rng)) for _ in range(200)] + [" ".join(edited(base, 3, rng)) for _ in range(60)]
+    sets = [slow_shingles(t) for t in texts]
+    want = slow_components(range(260), [(a, b) for a in range(260) for b in range(a + 1, 260) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+
+    def counted(df):
+        out = plain(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lambda: sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect())
+    assert got() == sorted(set(want.values())) and 1 < len(set(want.values()))
+    assert max(made) <= 4 * len(texts)
+    # A family that is dealt into blocks gives the same.
+    monkeypatch.setattr(simhash, "PER_BLOCK", 10_000, raising=False)
+    assert got() == sorted(set(want.values()))
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(60).selectExpr("id as a", "id + 1 as b").union(spark.range(3).selectExpr("100 as a", "id + 101 as b"))
     roots = components.component_roots(chain, "a", "b").collect()

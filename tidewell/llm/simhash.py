@@ -17,12 +17,13 @@ connection. Equal fingerprints are one entry.
 shingles, 0.8 or more). There 64 bits say too little: a pair at 0.8 differs in
 0.15 of the bits. The fingerprint of a text's set of shingles is ``WIDE`` bytes
 then, the lists are ``LISTS`` choices of ``SHARED`` positions, each position in
-equally many. A candidate must agree in ``SHARED`` bytes and in all bits but
-four deviations more than a pair at the threshold is expected to differ in; what
-is left is verified on the sets themselves. By simulation, lists miss 3.3 % of
-the pairs at 0.8 exactly, 1.8 % at 0.82, 0.4 % at 0.85, none in 20,000 at 0.9;
-a document is kept wrongly only if all its links are missed. No list and no
-group is capped.
+equally many. Texts that share a list and agree in all of ``CARRIED`` bytes' bits
+but four deviations more than a pair at the threshold is expected to differ in
+are one family, made from spanning trees of the lists, never all their pairs.
+Within a family all sets themselves are compared, and a spanning tree of the true
+links is emitted. By simulation, lists miss 3.3 % of the pairs at 0.8 exactly,
+1.8 % at 0.82, 0.4 % at 0.85, none in 20,000 at 0.9; such a link is lost only if
+nothing else makes the two one family. No list, no family and no group is capped.
 
 Defined results: a null or blank text has the fingerprint zero and links like
 any other; rows are told apart by doc_id and text, repeated rows come back
@@ -47,8 +48,10 @@ from tidewell.llm.components import component_roots
 SHINGLE_WORDS, DIFFERING_BITS, SEED = 4, 4, 42
 #: For similarities: words of a shingle, the threshold, bytes of a fingerprint, lists and their positions.
 NEAR_WORDS, LEAST, WIDE, LISTS, SHARED = 5, 0.8, 96, 256, 3
-#: Rounds in which each node is first joined with the nearest one, lists in each, nodes compared at once.
-ROUNDS, FIRST_LISTS, TOGETHER = 3, 4, 2048
+#: Lists of the first pass (the second has all others), bytes of a fingerprint that entries of lists carry.
+FIRST_LISTS, CARRIED = 32, 16
+#: Shingles in a block of a family; a task compares two blocks at once.
+PER_BLOCK = 1 << 19
 #: Most keys of texts that are broadcast (24 bytes each).
 SENT = 200_000
 #: Shingles that are hashed at once, so that very long texts need little memory.
@@ -242,157 +245,202 @@ def _keys(fp: np.ndarray, chosen: np.ndarray, first: int = 0) -> np.ndarray:
     return number << 24 | fp[:, chosen[:, 0]].astype(np.int64) << 16 | fp[:, chosen[:, 1]].astype(np.int64) << 8 | fp[:, chosen[:, 2]]
 
 
-def _in_lists(batches, found_in):
-    """Streams sorted rows (key first) list by list; ``found_in`` gets the columns
-    of a list of two or more and returns arrays a and b of pairs."""
-    held = None
+def _loose(nodes: DataFrame, first: int, last: int, least: float) -> DataFrame:
+    """Pairs a, b of roots, enough to connect all that share one of these lists
+    and agree in what its entries carry.
 
-    def batch_of(found):
-        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [np.frombuffer(b"".join(c.to_pylist()), f"V{WIDE}") if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
-        begins, found = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]]), []
-        for a, b in zip(begins[:-1], begins[1:]):
-            if b - a > 1:
-                found += found_in(*(c[a:b] for c in columns[1:]))
-        held = [c[begins[-1] :].copy() for c in columns]
-        if found:
-            yield batch_of(found)
-    if held is not None and len(held[0]) > 1:
-        yield batch_of(list(found_in(*held[1:])))
-
-
-def _nearest(nodes: DataFrame, first: int, lists: int, least: float) -> DataFrame:
-    """Pairs a, b: in each of a few lists, each node with the nearest one that
-    has another root (of ``TOGETHER`` at a time, where a list is longer)."""
-    chosen, most = positions()[first : first + lists], most_bits(least)
-
-    def enter(batches):
-        for batch in batches:
-            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, WIDE)
-            row = pa.array(np.repeat(np.arange(batch.num_rows), len(chosen)))
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(fp, chosen, first).ravel()), *(batch.column(k).take(row) for k in (0, 1, 3, 2))], ["key", "node", "size", "root", "fp"])
-
-    def found_in(node, size, root, fp):
-        if (root == root[0]).all():
-            return []
-        out, order = [], np.argsort(node.view(np.uint64) * _ODD[0], kind="stable")
-        for start in range(0, len(node), TOGETHER):
-            some = order[start : start + TOGETHER]
-            words = np.ascontiguousarray(fp[some]).view(np.uint64).reshape(len(some), -1)
-            for at in range(0, len(some), 64):
-                mine = some[at : at + 64]
-                away = np.bitwise_count(words[at : at + 64, None] ^ words[None]).sum(2, dtype=np.int32)
-                alike = np.minimum(size[mine, None], size[None, some]) >= least * np.maximum(size[mine, None], size[None, some])
-                away[(root[mine, None] == root[None, some]) | ~alike] = 1 << 30
-                best = away.argmin(1)
-                ok = away[np.arange(len(mine)), best] <= most
-                out.append((node[mine[ok]], node[some[best[ok]]]))
-        return out
-
-    entered = nodes.select("node", "size", "fp", "root").mapInArrow(tidied(enter), "key long, node long, size long, root long, fp binary")
-    dealt = entered.repartition(partitions(nodes), "key").sortWithinPartitions("key")
-    met = dealt.mapInArrow(tidied(lambda batches: _in_lists(batches, found_in)), "a long, b long")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _candidates(nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs a, b of all nodes that share a list but no root.
-
-    ``nodes`` has node, size, fp, root. Rows of a list carry the first word of
-    their fingerprints, by which most unrelated ones are told apart at once.
+    ``nodes`` has node, size, fp, root. Rows of a list carry ``CARRIED`` bytes of
+    their fingerprints, by which unrelated ones are told apart. A walk emits one
+    pair for each root it reaches, so that a list of n roots makes n - 1 at most.
     """
-    chosen = positions()
-    p = np.arccos(2 * least / (1 + least)) / np.pi
-    some = int(64 * p + 4 * (64 * p * (1 - p)) ** 0.5)
+    chosen, most = positions()[first:last], most_bits(least, 8 * CARRIED)
 
     def enter(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                fp = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, WIDE)
-                word = np.repeat(fp[:, :8].copy().view(np.int64), LISTS)
-                node, size, root = (np.repeat(part.column(k).to_numpy(zero_copy_only=False), LISTS) for k in (0, 1, 3))
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(fp, chosen).ravel()), pa.array(node), pa.array(size.astype(np.int32)), pa.array(root), pa.array(word)], ["key", "node", "size", "root", "word"])
-
-    def found_in(node, size, root, word):
-        if (root == root[0]).all():
-            return []
-        out = []
-        for at in range(len(node) - 1):
-            rest = slice(at + 1, None)
-            ok = root[rest] != root[at]
-            # A set that is too small can't be similar; of unrelated texts, the first word differs in half its bits.
-            ok &= np.minimum(size[rest], size[at]) >= least * np.maximum(size[rest], size[at])
-            ok &= np.bitwise_count((word[rest] ^ word[at]).view(np.uint64)) <= some
-            if ok.any():
-                met = node[rest][ok]
-                out.append((np.full(len(met), node[at]), met))
+                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE)
+                words = fp[:, :CARRIED].copy().view(np.int64)
+                size, root, *words = (np.repeat(x, len(chosen)) for x in (part.column(0).to_numpy(zero_copy_only=False).astype(np.int32), part.column(2).to_numpy(zero_copy_only=False), *words.T))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_keys(fp, chosen, first).ravel(), size, root, *words)], ["key", "size", "root", *names])
+
+    def close_in(x, y, size, words):
+        away = np.bitwise_count((words[x] ^ words[y]).view(np.uint64)).sum(-1, dtype=np.int32)
+        # A set that is too small can't be similar.
+        return (away <= most) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]))
+
+    def walk_roots(size, root, words):
+        out, left = [], np.arange(len(root))
+        while len(left):
+            own = root[left] == root[left[0]]
+            front, left = [left[own]], left[~own]
+            while front and len(left):
+                some, most_rows = front.pop(), max(1, min(64, (1 << 20) // len(left)))
+                if len(some) > most_rows:
+                    front.append(some[most_rows:])
+                    some = some[:most_rows]
+                near = close_in(some[:, None], left[None], size, words)
+                hit = near.any(0)
+                if hit.any():
+                    reached, at = np.unique(root[left[hit]], return_index=True)
+                    out.append((root[some[near[:, hit][:, at].argmax(0)]], reached))
+                    now = np.isin(root[left], reached)
+                    front.append(left[now])
+                    left = left[~now]
         return out
 
-    entered = nodes.select("node", "size", "fp", "root").mapInArrow(tidied(enter), "key long, node long, size int, root long, word long")
+    def run(batches):
+        held = None
+
+        def found_in(key, size, root, *words):
+            words = np.stack(words, 1)
+            begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[begins[1:], len(key)]
+            two = begins[ends - begins == 2]
+            two = two[root[two] != root[two + 1]]
+            two = two[close_in(two, two + 1, size, words)]
+            out = [(root[two], root[two + 1])]
+            for a, b in zip(begins[ends - begins > 2], ends[ends - begins > 2]):
+                if (root[a:b] != root[a]).any():
+                    out += walk_roots(size[a:b], root[a:b], words[a:b])
+            a, b = (np.concatenate(x) for x in zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+            # The last list may go on in the next batch.
+            last = np.searchsorted(columns[0], columns[0][-1])
+            if last:
+                yield found_in(*(c[:last] for c in columns))
+            held = [c[last:].copy() for c in columns]
+        if held is not None:
+            yield found_in(*held)
+
+    names = [f"word{i}" for i in range(CARRIED // 8)]
+    entered = nodes.select("size", "fp", "root").mapInArrow(tidied(enter), "key long, size int, root long, " + ", ".join(f"{n} long" for n in names))
     dealt = entered.repartition(partitions(nodes), "key").sortWithinPartitions("key")
-    met = dealt.mapInArrow(tidied(lambda batches: _in_lists(batches, found_in)), "a long, b long")
+    met = dealt.mapInArrow(tidied(run), "a long, b long")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_each: int, least: float) -> DataFrame:
-    """The pairs whose fingerprints and then sets are similar enough."""
-    most = most_bits(least)
+def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links a, b (places in ``sets``) of Jaccard index ``least`` or more that
+    connect whatever such links connect.
 
-    def tally(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, WIDE) for k in (2, 3))
-            differ = a ^ b
-            ok = ((differ == 0).sum(1) >= SHARED) & (np.bitwise_count(differ).sum(1, dtype=np.int64) <= most)
-            yield batch.select([0, 1]).filter(pa.array(ok))
-
-    side = lambda n: nodes.select(F.col("node").alias(n), F.col("fp").alias(f"f{n}"))
-    kept = cut(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "fa", "fb").mapInArrow(tidied(tally), "a long, b long"))
-    asked = kept.select(F.col("a").alias("node")).union(kept.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(nodes.join(asked.hint("merge"), "node").select(F.col("_id").alias("_wid"), F.col("_digest").alias("_wdigest"), "node"))
+    Each set is compared, by the postings of its members, with all sets that the
+    walk has not reached yet; the postings are made anew when half are reached.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, owner = np.r_[0, np.cumsum(sizes)], np.repeat(np.arange(n), sizes)
+    reached = np.zeros(n, bool)
+
+    def postings():
+        live = ~reached[owner]
+        ids = at[live]
+        return owner[live][np.argsort(ids, kind="stable")], np.r_[0, np.cumsum(np.bincount(ids, minlength=len(values)))]
+
+    (posts, begin), indexed, left, out = postings(), n, n, []
+    for start in range(n):
+        if reached[start]:
+            continue
+        reached[start] = True
+        front, left = [start], left - 1
+        while front and left:
+            if 2 * left <= indexed:
+                (posts, begin), indexed = postings(), left
+            x = front.pop()
+            ids = at[starts[x] : starts[x + 1]]
+            low, many = begin[ids], begin[ids + 1] - begin[ids]
+            met = posts[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            if 4 * len(met) < n:
+                y, both = np.unique(met, return_counts=True)
+            else:
+                both = np.bincount(met, minlength=n)
+                y = np.flatnonzero(both)
+                both = both[y]
+            y = y[~reached[y] & (both / (sizes[x] + sizes[y] - both) >= least)]
+            if len(y):
+                reached[y] = True
+                left -= len(y)
+                out.append((np.full(len(y), x), y))
+                front.extend(y.tolist())
+    a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+    return a, b
+
+
+def _links_within(nodes: DataFrame, roots: DataFrame, docs: DataFrame, words_each: int, least: float) -> DataFrame:
+    """Pairs a, b of nodes of one root, enough to connect all whose sets are
+    similar enough.
+
+    The sets of a family (the nodes of a root) meet in one task. A family of more
+    than ``PER_BLOCK`` shingles is dealt into blocks, each of which meets each
+    other one, so that all pairs are compared and a task holds two blocks.
+    """
+    sized = nodes.join(roots.hint("merge"), "node")
+    families = sized.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / PER_BLOCK).alias("blocks")).where("n > 1").drop("n")
+    wanted = cut(sized.join(families.hint("merge"), "root").select(F.col("_id").alias("_wid"), F.col("_digest").alias("_wdigest"), "node", "root", "blocks"))
     # Keys that are counted and few go to the texts; else the texts are shuffled to them.
     wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted.hint("merge")
 
-    def run(batches):
+    def to_sets(batches):
         for batch in batches:
-            sets = [shingle_set(x, words_each).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            sets = [shingle_set(x, words_each).tobytes() for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["node", "root", "blocks", "shingles"])
+
+    def run(batches):
+        held, nodes, sets = None, [], []
 
-    texts = keyed(docs).join(wanted, F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_digest") == F.col("_wdigest"))).select("node", "_text")
-    sets = cut(texts.mapInArrow(tidied(run), "node long, shingles array<long>").dropDuplicates(["node"]))
-    one = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return cut(kept.join(one("a").hint("merge"), "a").join(one("b").hint("merge"), "b").where(both / (F.size("sa") + F.size("sb") - both) >= F.lit(least)).select("a", "b"))
+        def found():
+            a, b = alike(sets, least) if len(sets) > 1 else (np.empty(0, np.int64),) * 2
+            at = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(at[a], pa.int64()), pa.array(at[b], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for root, pair, node, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if held != (root, pair):
+                    if len(sets) > 1:
+                        yield found()
+                    held, nodes, sets = (root, pair), [], []
+                # Repeated rows are one node.
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sets.append(np.frombuffer(shingles, np.uint64))
+        yield found()
+
+    texts = keyed(docs).join(wanted, F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_digest") == F.col("_wdigest"))).select("node", "root", "blocks", "_text")
+    sets = texts.mapInArrow(tidied(to_sets), "node long, root long, blocks long, shingles binary").withColumn("mine", F.expr("pmod(xxhash64(node), blocks)"))
+    meeting = F.expr("explode(if(blocks = 1, array(0L), transform(filter(sequence(0L, blocks - 1), j -> j <> mine), j -> least(j, mine) * blocks + greatest(j, mine))))")
+    dealt = sets.select("root", meeting.alias("pair"), "node", "shingles").repartition(partitions(docs), "root", "pair").sortWithinPartitions("root", "pair", "node")
+    return dealt.mapInArrow(tidied(run), "a long, b long")
 
 
 def near_copies(docs: DataFrame, *, words_each: int = NEAR_WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """Rows (_id, _digest, node) and node, root of texts that chains of links of
     similarity ``least`` or more connect; texts without words are copies.
 
-    For ``ROUNDS`` rounds each node is joined with the nearest one of another
-    root in a few lists, so that large groups grow together at a few links for
-    each member; all lists then compare, pair by pair, only what is still apart.
+    Lists connect what may be similar to families, in two passes: a few lists
+    first, so that large groups are mostly one root when all others follow. The
+    sets of each family are then compared, and its true links connected.
     """
     rows = cut(_wide(docs, words_each))
     first = F.struct(F.col("_id").isNull(), "_id", "_digest")
     nodes = cut(rows.groupBy("node").agg(F.min(first).alias("r"), F.first("size").alias("size"), F.first("fp").alias("fp")).select("node", "size", "fp", "r._id", "r._digest"))
-    worded = nodes.where("size > 0")
-    found, roots = None, nodes.select("node", F.col("node").alias("root"))
-    for turn in range(ROUNDS + 1):
-        rooted = worded.join(roots.hint("merge"), "node")
-        pairs = _nearest(rooted, turn * FIRST_LISTS, FIRST_LISTS, least) if turn < ROUNDS else _candidates(rooted, least)
-        good = _verified(pairs, nodes, docs, words_each, least)
-        found = good if found is None else found.union(good)
-        linked = component_roots(found, "a", "b")
-        roots = cut(nodes.select("node").join(linked.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    return rows.select("_id", "_digest", "node"), roots
+    roots = nodes.select("node", F.col("node").alias("root"))
+
+    def joined(roots, edges):
+        step = component_roots(edges, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("to"))
+        return cut(roots.join(step.hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+
+    for begin, end in ((0, FIRST_LISTS), (FIRST_LISTS, LISTS)):
+        rooted = nodes.where("size > 0").join(roots.hint("merge"), "node")
+        roots = joined(roots, _loose(rooted, begin, end, least))
+    links = _links_within(nodes, roots, docs, words_each, least)
+    return rows.select("_id", "_digest", "node"), joined(nodes.select("node", F.col("node").alias("root")), links)
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
