@@ -218,6 +218,18 @@ def test_near_copies_of_a_cloud_make_no_pairs(spark, monkeypatch):
     assert got() == sorted(set(want.values()))
 
 
+def test_near_dedup_stage_loses_no_link_at_the_threshold(spark):
+    rng, texts = random.Random(13), []
+    for i in range(150):
+        base = prose(230, 900 + i).split()
+        texts += [" ".join(base), " ".join(edited(base, 5, rng))]
+    sets = [slow_shingles(t) for t in texts]
+    linked = [(a, b) for a in range(300) for b in range(a + 1, 300) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()]
+    assert sorted(got) == sorted(set(slow_components(range(300), linked).values())) and len(linked) >= 140
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(60).selectExpr("id as a", "id + 1 as b").union(spark.range(3).selectExpr("100 as a", "id + 101 as b"))
     roots = components.component_roots(chain, "a", "b").collect()

@@ -20,10 +20,12 @@ then, the lists are ``LISTS`` choices of ``SHARED`` positions, each position in
 equally many. Texts that share a list and agree in all of ``CARRIED`` bytes' bits
 but four deviations more than a pair at the threshold is expected to differ in
 are one family, made from spanning trees of the lists, never all their pairs.
-Within a family all sets themselves are compared, and a spanning tree of the true
-links is emitted. By simulation, lists miss 3.3 % of the pairs at 0.8 exactly,
-1.8 % at 0.82, 0.4 % at 0.85, none in 20,000 at 0.9; such a link is lost only if
-nothing else makes the two one family. No list, no family and no group is capped.
+By simulation, lists miss 3.3 % of the pairs at 0.8 exactly, 1.8 % at 0.82, 0.4 %
+at 0.85, none in 20,000 at 0.9. For these, a last pass has a list for each shingle
+of the sets' prefixes (a fifth of a set, rare shingles first), one of which any
+two sets at the threshold share. Within a family all sets themselves are compared,
+and a spanning tree of the true links is emitted. No list, no family and no group
+is capped.
 
 Defined results: a null or blank text has the fingerprint zero and links like
 any other; rows are told apart by doc_id and text, repeated rows come back
@@ -52,6 +54,8 @@ NEAR_WORDS, LEAST, WIDE, LISTS, SHARED = 5, 0.8, 96, 256, 3
 FIRST_LISTS, CARRIED = 32, 16
 #: Shingles in a block of a family; a task compares two blocks at once.
 PER_BLOCK = 1 << 19
+#: About so many texts tell which shingles are frequent: those in so many of them, and how many are held.
+SAMPLED, OFTEN, HELD = 4000, 4, 100_000
 #: Most keys of texts that are broadcast (24 bytes each).
 SENT = 200_000
 #: Shingles that are hashed at once, so that very long texts need little memory.
@@ -227,16 +231,50 @@ def most_bits(least: float, bits: int = 8 * WIDE) -> int:
     return int(bits * p + 4 * (bits * p * (1 - p)) ** 0.5)
 
 
-def _wide(docs: DataFrame, words_each: int) -> DataFrame:
-    """_id, _digest, node, size of its set and fp of every row."""
+def _frequent(docs: DataFrame, words_each: int) -> np.ndarray:
+    """The ``HELD`` most frequent shingles in ``OFTEN`` or more of about ``SAMPLED``
+    texts, from rare to frequent."""
+
+    def run(batches):
+        for batch in batches:
+            found = [shingle_set(x, words_each).view(np.int64) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], ["shingle"])
+
+    texts = keyed(docs)
+    some = texts.where(F.pmod("_digest", F.lit(max(1, texts.count() // SAMPLED))) == 0).dropDuplicates(["_digest"]).select("_text")
+    counted = some.mapInArrow(tidied(run), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(HELD)
+    return np.array([r[0] for r in sorted(counted.collect(), key=lambda r: (r[1], r[0]))], np.int64).view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
+    """So many members of a set, in an order that all sets share, that any two
+    sets of similarity ``least`` have one of them in common.
+
+    Those in ``frequent`` (sorted) come last, by ``rank``; whatever it holds
+    makes lists short or long, and loses nothing.
+    """
+    k = len(shingles) - int(np.ceil(least * len(shingles) - 1e-6)) + 1
+    if not len(frequent) or not len(shingles):
+        return shingles[:k]
+    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+    often = frequent[at] == shingles
+    last = np.argsort(rank[at[often]])
+    return np.concatenate([shingles[~often], shingles[often][last]])[:k]
+
+
+def _wide(docs: DataFrame, words_each: int, least: float) -> DataFrame:
+    """_id, _digest, node, size of its set, fp and prefix of every row."""
+    found = _frequent(docs, words_each)
+    rank = np.argsort(found)
+    frequent = found[rank]
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(x, words_each) for x in batch.column(2).to_pylist()]
-            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_fingerprint(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["_id", "_digest", "node", "size", "fp"])
+            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_fingerprint(s) for s in sets], pa.binary()), pa.array([prefix(s, frequent, rank, least).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["_id", "_digest", "node", "size", "fp", "prefix"])
 
-    return keyed(docs).select("_id", "_digest", "_text").mapInArrow(tidied(run), "_id long, _digest long, node long, size long, fp binary")
+    return keyed(docs).select("_id", "_digest", "_text").mapInArrow(tidied(run), "_id long, _digest long, node long, size long, fp binary, prefix binary")
 
 
 def _keys(fp: np.ndarray, chosen: np.ndarray, first: int = 0) -> np.ndarray:
@@ -247,9 +285,9 @@ def _keys(fp: np.ndarray, chosen: np.ndarray, first: int = 0) -> np.ndarray:
 
 def _loose(nodes: DataFrame, first: int, last: int, least: float) -> DataFrame:
     """Pairs a, b of roots, enough to connect all that share one of these lists
-    and agree in what its entries carry.
+    (or, for none, a shingle of their prefixes) and agree in what entries carry.
 
-    ``nodes`` has node, size, fp, root. Rows of a list carry ``CARRIED`` bytes of
+    ``nodes`` has size, fp, prefix, root. Rows of a list carry ``CARRIED`` bytes of
     their fingerprints, by which unrelated ones are told apart. A walk emits one
     pair for each root it reaches, so that a list of n roots makes n - 1 at most.
     """
@@ -261,8 +299,13 @@ def _loose(nodes: DataFrame, first: int, last: int, least: float) -> DataFrame:
                 part = batch.slice(at, 512)
                 fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE)
                 words = fp[:, :CARRIED].copy().view(np.int64)
-                size, root, *words = (np.repeat(x, len(chosen)) for x in (part.column(0).to_numpy(zero_copy_only=False).astype(np.int32), part.column(2).to_numpy(zero_copy_only=False), *words.T))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_keys(fp, chosen, first).ravel(), size, root, *words)], ["key", "size", "root", *names])
+                if len(chosen):
+                    key, many = _keys(fp, chosen, first).ravel(), len(chosen)
+                else:
+                    prefixes = part.column(3).to_pylist()
+                    key, many = np.frombuffer(b"".join(prefixes), np.int64), np.array([len(x) // 8 for x in prefixes])
+                size, root, *words = (np.repeat(x, many) for x in (part.column(0).to_numpy(zero_copy_only=False).astype(np.int32), part.column(2).to_numpy(zero_copy_only=False), *words.T))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, size, root, *words)], ["key", "size", "root", *names])
 
     def close_in(x, y, size, words):
         away = np.bitwise_count((words[x] ^ words[y]).view(np.uint64)).sum(-1, dtype=np.int32)
@@ -321,7 +364,7 @@ def _loose(nodes: DataFrame, first: int, last: int, least: float) -> DataFrame:
             yield found_in(*held)
 
     names = [f"word{i}" for i in range(CARRIED // 8)]
-    entered = nodes.select("size", "fp", "root").mapInArrow(tidied(enter), "key long, size int, root long, " + ", ".join(f"{n} long" for n in names))
+    entered = nodes.select("size", "fp", "root", *([] if len(chosen) else ["prefix"])).mapInArrow(tidied(enter), "key long, size int, root long, " + ", ".join(f"{n} long" for n in names))
     dealt = entered.repartition(partitions(nodes), "key").sortWithinPartitions("key")
     met = dealt.mapInArrow(tidied(run), "a long, b long")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -423,20 +466,21 @@ def near_copies(docs: DataFrame, *, words_each: int = NEAR_WORDS, least: float =
     """Rows (_id, _digest, node) and node, root of texts that chains of links of
     similarity ``least`` or more connect; texts without words are copies.
 
-    Lists connect what may be similar to families, in two passes: a few lists
-    first, so that large groups are mostly one root when all others follow. The
-    sets of each family are then compared, and its true links connected.
+    Lists connect what may be similar to families, in passes: a few lists first,
+    so that large groups are mostly one root when all others follow, and prefixes
+    of the sets last, for what no list holds together. The sets of each family
+    are then compared, and its true links connected.
     """
-    rows = cut(_wide(docs, words_each))
+    rows = cut(_wide(docs, words_each, least))
     first = F.struct(F.col("_id").isNull(), "_id", "_digest")
-    nodes = cut(rows.groupBy("node").agg(F.min(first).alias("r"), F.first("size").alias("size"), F.first("fp").alias("fp")).select("node", "size", "fp", "r._id", "r._digest"))
+    nodes = cut(rows.groupBy("node").agg(F.min(first).alias("r"), *(F.first(c).alias(c) for c in ("size", "fp", "prefix"))).select("node", "size", "fp", "prefix", "r._id", "r._digest"))
     roots = nodes.select("node", F.col("node").alias("root"))
 
     def joined(roots, edges):
         step = component_roots(edges, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("to"))
         return cut(roots.join(step.hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
-    for begin, end in ((0, FIRST_LISTS), (FIRST_LISTS, LISTS)):
+    for begin, end in ((0, FIRST_LISTS), (FIRST_LISTS, LISTS), (LISTS, LISTS)):
         rooted = nodes.where("size > 0").join(roots.hint("merge"), "node")
         roots = joined(roots, _loose(rooted, begin, end, least))
     links = _links_within(nodes, roots, docs, words_each, least)
