@@ -1,5 +1,7 @@
 """The engine's queries against SQL, and edge cases by hand."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,9 @@ def doubled(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("doubled"))
     once = spark.read.parquet(f"{SF}/events.parquet")
     once.unionByName(once.withColumn("event_id", F.col("event_id") + 1000).withColumn("user_id", F.col("user_id") + 15)).write.parquet(f"{folder}/events.parquet")
+    for table in os.listdir(SF):
+        if table != "events.parquet":
+            os.symlink(f"{SF}/{table}", f"{folder}/{table}")
     return folder
 
 
@@ -132,3 +137,14 @@ def compare_events(spark, query, sql, folder):
 @pytest.mark.parametrize("name", ["derivative", "non_negative_derivative"])
 def test_derivative_of_equal_times_is_that_of_sql(spark, doubled, name):
     assert compare_events(spark, catalog.QUERIES[name], catalog.ORACLE[name], doubled) == []
+
+
+def test_transforms_side_by_side_with_equal_times(spark, doubled):
+    assert compare_events(spark, catalog.QUERIES["sql_raw_difference"], catalog.ORACLE["sql_raw_difference"], doubled) == []
+
+
+def test_transforms_of_fields_with_nulls_side_by_side(spark):
+    rows = [("a", 0, 1.0, 10.0), ("a", 1, None, 20.0), ("a", 2, 4.0, 50.0), ("a", 2, 4.0, 50.0), ("a", 3, 5.0, None), ("b", 0, 7.0, 1.0)]
+    m = Measurement(spark.createDataFrame(rows, "t string, time long, v double, w double"), ("t",), ("v", "w"))
+    got = run_sql("SELECT difference(v) AS d, elapsed(v) AS e, moving_average(w, 2) AS a, cumulative_sum(v) AS s FROM m GROUP BY t", {"m": m})
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([("a", 0, None, None, None, 1.0), ("a", 1, None, None, 15.0, None), ("a", 2, 3.0, 2, 35.0, 5.0), ("a", 2, 0.0, 0, 50.0, 9.0), ("a", 3, 1.0, 1, None, 14.0), ("b", 0, None, None, None, 7.0)], key=str)

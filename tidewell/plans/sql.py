@@ -562,12 +562,22 @@ class Planner:
         """Functions of the points of a series, or of its buckets."""
         if raw or any(item[0] != "call" for item, _ in items):
             raise SqlError(f"{calls[0][1]} stands alone or with its like")
+        if len(items) > 1 and all(item[1] in TRANSFORMS and not (item[2][0][0] == "call" and is_aggregate(item[2][0][1])) for item, _ in items):
+            return self.point_steps(m, tree, items, by)
         parts = [self.one_series(m, tree, item, n, by, start, stop) for item, n in items]
         out = parts[0]
         for part in parts[1:]:
             out = out.join(part, [*by, "time"], "full")
         return Measurement(out, by, tuple(c for c in out.columns if c not in by and c != "time"))
 
+    def point_steps(self, m, tree, items, by) -> Measurement:
+        """Functions of points side by side, in one pass, as times may repeat."""
+        made: dict = {}
+        fields = [self.argument(m, item, made) for item, _ in items]
+        m = Measurement(m.frame.withColumns({n: c for n, c in made.values()}) if made else m.frame, m.tags, m.fields)
+        parts = [(n, *self.step(item[1], [self.constant(a) for a in item[2][1:]], tree), f) for (item, n), f in zip(items, fields)]
+        return Measurement(T.side_by_side(m, by, parts), by, tuple(n for _, n in items if n not in by and n != "time"))
+
     def one_series(self, m, tree, item, name, by, start, stop) -> DataFrame:
         _, call, args, _ = item
         inner = args[0]
@@ -592,19 +602,21 @@ class Planner:
             made: dict = {}
             field = self.argument(m, item, made)
             m = Measurement(m.frame.withColumns({n: c for n, c in made.values()}) if made else m.frame, m.tags, m.fields)
-        unit = tree.every or SECOND
-        if call in ("difference", "non_negative_difference"):
-            out = T.difference(m, field, by, more[0] if more else "behind", call.startswith("non"))
-        elif call in ("derivative", "non_negative_derivative"):
-            out = T.derivative(m, field, by, more[0] if more else unit, call.startswith("non"))
-        elif call == "moving_average":
-            out = T.moving_average(m, field, more[0], by)
-        elif call == "elapsed":
-            out = T.elapsed(m, field, by, more[0] if more else 1)
-        else:
-            out = T.cumulative_sum(m, field, by)
+        step, args = self.step(call, more, tree)
+        out = getattr(T, step)(m, field, by=by, **args)
         return out.withColumnRenamed("value", name)
 
+    def step(self, call, more, tree) -> tuple[str, dict]:
+        """A transform's function and its arguments."""
+        name, non_negative = call.removeprefix("non_negative_"), call.startswith("non")
+        if name == "difference":
+            return name, {"kind": more[0] if more else "behind", "non_negative": non_negative}
+        if name == "derivative":
+            return name, {"unit": more[0] if more else tree.every or SECOND, "non_negative": non_negative}
+        if name == "moving_average":
+            return name, {"n": more[0]}
+        return name, {"unit": more[0] if more else 1} if name == "elapsed" else {}
+
     def limited(self, out: Measurement, tree: Select, by) -> Measurement:
         frame = out.frame
         known = frame.columns
