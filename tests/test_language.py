@@ -11,7 +11,7 @@ from tidewell.functions.scalar import FUNCTIONS
 from tidewell.model import Measurement, measurement
 from tidewell.operators import aggregates as A
 from tidewell.operators.causes import root_causes
-from tidewell.operators.forecast import DETECTORS, Detector, detected, fitted, register_detector
+from tidewell.operators.forecast import DETECTORS, Detector, _whole_series, detected, fitted, register_detector, residual_scores, residual_scores_of_many
 from tidewell.operators.graph import run_graph
 from tidewell.plans.database import Database
 from tidewell.plans.logs import LogError, search
@@ -303,3 +303,39 @@ def test_levels_scheduled_runs_and_retention(spark, tmp_path):
     stored = m.frame.select(F.timestamp_micros("time").cast("timestamp_ntz").alias("t"))
     assert rollup.expired(stored, "t", 5 * hour, 2 * hour).count() == 12
     assert values(rollup.tiers(stored, "t", 5 * hour, hour, 3 * hour).groupBy("tier").count()) == [("cold", 13), ("hot", 5), ("warm", 12)]
+
+
+def test_detectors_take_many_series_at_a_time(spark):
+    class Together(Detector):
+        def scores_each(self, values, starts, ends, models):
+            assert len(starts) == len(ends) == len(models)
+            return np.full(len(values), float(len(starts)))
+
+    rows = [(None if k == 7 else f"s{k}", float("nan") if k % 3 else -0.0 if i else 0.0, 2 - i, None if k == 5 else float(k + i)) for k in range(90) for i in range(3)]
+    df = spark.createDataFrame(rows, "t string, u double, time long, v double").coalesce(1)
+    register_detector("together", Together)
+    got = detected(df, ("t", "u"), "v", "together").toPandas()
+    DETECTORS.pop("together")
+    assert len(got) == 89 * 3 and got["score"].max() > 1
+    fits = detected(df, ("t", "u"), "v", "deviation", task="fit").collect()
+    assert len(fits) == 89 and len({r["t"] for r in fits}) == 89
+
+
+def test_local_medians_of_many_series_are_those_of_each():
+    g = np.random.default_rng(3)
+    ends = np.cumsum([*g.integers(1, 40, 200), 3000])
+    starts = np.concatenate([[0], ends[:-1]])
+    values = np.round(g.exponential(50, ends[-1]), 1)
+    values[starts[4] : ends[4]], values[starts[9]] = 5.0, np.inf
+    for width in (1, 4, 11, 1500):
+        each = np.concatenate([residual_scores(values[a:b], width) for a, b in zip(starts, ends)])
+        assert np.array_equal(residual_scores_of_many(values, starts, ends, width), each, equal_nan=True)
+
+
+def test_series_go_on_in_the_next_batch():
+    import pyarrow as pa
+
+    keys = [None] * 3 + ["a"] * 11 + ["b", "c"] + ["d"] * 4
+    table = pa.table({"t": pa.array(keys), "n": list(range(len(keys)))})
+    got = [(rows.column("t")[int(i)].as_py(), n) for rows, starts in _whole_series(table.to_batches(max_chunksize=2), ("t",), 3) for i, n in zip(starts, np.diff([*starts, len(rows)]))]
+    assert got == [(None, 3), ("a", 11), ("b", 1), ("c", 1), ("d", 4)]

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _smoothed(values: np.ndarray, season: int, alpha: float, beta: float, gamma: float, phi: float, ahead: int) -> np.ndarray:
@@ -101,8 +104,64 @@ def residual_scores(values: np.ndarray, width: int) -> np.ndarray:
     return np.where(rest == 0, 0.0, rest.to_numpy() / spread if spread > 0 else np.sign(rest.to_numpy()) * np.inf)
 
 
+#: Values that a step over many series sorts or gathers at a time.
+_BLOCK = 4_000_000
+
+
+def _by_length(starts: np.ndarray, ends: np.ndarray):
+    """Series of one length each time, as their places and an index of their values
+    with a row for each: reduced along it, a row goes as the series alone would."""
+    lengths = ends - starts
+    order = np.argsort(lengths, kind="stable")
+    for same in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+        length = int(lengths[same[0]])
+        step = max(1, _BLOCK // max(1, length))
+        for i in range(0, len(same), step):
+            places = same[i : i + step]
+            yield places, starts[places][:, None] + np.arange(length)
+
+
+def _local_medians(rows: np.ndarray, width: int) -> np.ndarray:
+    """Of each row's values the median of ``width`` around it, as far as there are."""
+    right = (width - 1) // 2
+    left, length = width - 1 - right, rows.shape[1]
+    place = np.arange(length)
+    count = np.minimum(place + right, length - 1) - np.maximum(place - left, 0) + 1
+    out = np.empty_like(rows)
+    step = max(1, _BLOCK // width)
+    per = max(1, step // length)
+    for i in range(0, len(rows), per):
+        padded = np.pad(rows[i : i + per], ((0, 0), (left, right)), constant_values=np.inf)
+        windows = np.lib.stride_tricks.sliding_window_view(padded, width, axis=1)
+        for j in range(0, length, step):
+            part, n = np.sort(windows[:, j : j + step], axis=2), count[j : j + step]
+            low, high = (np.take_along_axis(part, np.broadcast_to(k[None, :, None], (len(part), len(n), 1)), 2)[..., 0] for k in ((n - 1) // 2, n // 2))
+            out[i : i + per, j : j + step] = np.where(n % 2 == 1, low, (low + high) / 2)
+    return out
+
+
+def residual_scores_of_many(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """``residual_scores`` of each series from a start to its end."""
+    out = np.empty(len(values))
+    for places, index in _by_length(starts, ends):
+        rows = values[index]
+        if not (isinstance(width, int) and 1 <= width <= 1000 and np.isfinite(rows).all()):
+            for a, b in zip(starts[places], ends[places]):
+                out[a:b] = residual_scores(values[a:b], width)
+            continue
+        rest = rows - _local_medians(rows, width)
+        spread = 1.4826 * np.median(np.abs(rest - np.median(rest, axis=1)[:, None]), axis=1)[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[index] = np.where(rest == 0, 0.0, np.where(spread > 0, rest / spread, np.sign(rest) * np.inf))
+    return out
+
+
 class Detector:
-    """What ``detected`` runs over a series: subclass and return scores."""
+    """What ``detected`` runs over a series: subclass and return scores.
+
+    ``fit_each`` and ``scores_each`` take the values of many series, each from a
+    start to its end; a subclass may do them at once where that gives the same.
+    """
 
     def __init__(self, **parameters):
         self.parameters = parameters
@@ -114,6 +173,12 @@ class Detector:
     def scores(self, values: np.ndarray, model: dict) -> np.ndarray:
         raise NotImplementedError
 
+    def fit_each(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[dict]:
+        return [self.fit(values[a:b]) for a, b in zip(starts, ends)]
+
+    def scores_each(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, models: list[dict]) -> np.ndarray:
+        return np.concatenate([np.asarray(self.scores(values[a:b], m), float) for a, b, m in zip(starts, ends, models)])
+
 
 class LocalMedian(Detector):
     """Distance from the median of the points around."""
@@ -121,6 +186,11 @@ class LocalMedian(Detector):
     def scores(self, values, model):
         return residual_scores(values, self.parameters.get("width", 11))
 
+    def scores_each(self, values, starts, ends, models):
+        if type(self) is not LocalMedian:
+            return super().scores_each(values, starts, ends, models)
+        return residual_scores_of_many(values, starts, ends, self.parameters.get("width", 11))
+
 
 class Deviation(Detector):
     """Distance from the mean of a fit, in its deviations."""
@@ -140,6 +210,9 @@ class Threshold(Detector):
         low, high = self.parameters.get("low", -np.inf), self.parameters.get("high", np.inf)
         return np.where((values < low) | (values > high), np.inf, 0.0)
 
+    def scores_each(self, values, starts, ends, models):
+        return self.scores(values, {}) if type(self) is Threshold else super().scores_each(values, starts, ends, models)
+
 
 DETECTORS: dict[str, type[Detector]] = {"local_median": LocalMedian, "deviation": Deviation, "threshold": Threshold}
 
@@ -148,9 +221,50 @@ def register_detector(name: str, kind: type[Detector]) -> None:
     DETECTORS[name] = kind
 
 
+def _series_starts(rows: pa.Table, by: tuple[str, ...]) -> np.ndarray:
+    """Where another series begins in rows that are sorted by series."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for b in by:
+        column = rows.column(b).combine_chunks()
+        if pa.types.is_nested(column.type):
+            plain = column.to_pylist()
+            new[1:] |= np.array([x != y for x, y in zip(plain[1:], plain)], bool)
+            continue
+        null = np.asarray(pc.is_null(column, nan_is_null=False))
+        blank = np.asarray(pc.fill_null(pc.is_nan(column), False)) if pa.types.is_floating(column.type) else np.zeros(len(column), bool)
+        same = np.asarray(pc.fill_null(pc.equal(column[1:], column[:-1]), False)) | (null[1:] & null[:-1]) | (blank[1:] & blank[:-1])
+        new[1:] |= ~same
+    return np.flatnonzero(new)
+
+
+def _whole_series(batches, by: tuple[str, ...], at_least: int = 100_000):
+    """Sorted batches as tables of whole series, many at a time."""
+    held, size, wanted = [], 0, at_least
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < wanted:
+            continue
+        rows = pa.Table.from_batches(held)
+        starts = _series_starts(rows, by)
+        last = int(starts[-1])
+        if last:
+            yield rows.slice(0, last), starts[:-1]
+        rest = rows.slice(last)
+        # A series that goes on is looked at again when it has doubled.
+        held, size, wanted = rest.to_batches(), len(rest), max(at_least, 2 * len(rest))
+    if size:
+        rows = pa.Table.from_batches(held)
+        yield rows, _series_starts(rows, by)
+
+
 def detected(points: DataFrame, by: tuple[str, ...], value: str, algorithm: str, *, task: str = "fit_detect", beyond: float = 3.0, model: dict | None = None, **parameters) -> DataFrame:
     """Scores of each series' points (detect, fit_detect: by, time, value, score,
-    anomaly) or fitted models (fit: by, model as JSON text)."""
+    anomaly) or fitted models (fit: by, model as JSON text).
+
+    Series are sorted side by side, and many go to the detector at a time.
+    """
     import json
 
     if algorithm not in DETECTORS:
@@ -159,14 +273,24 @@ def detected(points: DataFrame, by: tuple[str, ...], value: str, algorithm: str,
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
     key = "".join(f"`{b}` {kinds[b]}, " for b in by)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=[value]).sort_values("time")
-        values = rows[value].to_numpy(float)
-        known = model if task == "detect" and model is not None else detector.fit(values) if len(values) else {}
-        if task == "fit":
-            return pd.DataFrame({**{b: [rows[b].iloc[0]] for b in by}, "model": [json.dumps(known)]}) if len(rows) else pd.DataFrame({**{b: [] for b in by}, "model": []})
-        scores = detector.scores(values, known) if len(values) else np.empty(0)
-        return pd.DataFrame({**{b: rows[b] for b in by}, "time": rows["time"], "value": values, "score": scores, "anomaly": np.abs(scores) > beyond})
-
-    kept = points.select(*by, "time", value)
-    return kept.groupBy(*by).applyInPandas(run, key + ("model string" if task == "fit" else "time long, value double, score double, anomaly boolean"))
+    def run(batches):
+        for rows, starts in _whole_series(batches, by):
+            values, ends = np.array(rows.column("_value")), np.append(starts[1:], len(rows))
+            models = [model] * len(starts) if task == "detect" and model is not None else detector.fit_each(values, starts, ends)
+            if task == "fit":
+                kept, more = rows.select(list(by)).take(pa.array(starts)), {"model": pa.array([json.dumps(m) for m in models], pa.string())}
+            else:
+                scores = np.asarray(detector.scores_each(values, starts, ends, models), float)
+                kept, more = rows.select([*by, "_time"]), {"value": pa.array(values), "score": pa.array(scores), "anomaly": pa.array(np.abs(scores) > beyond)}
+            for name, column in more.items():
+                kept = kept.append_column(name, column)
+            if task != "fit":
+                kept = kept.rename_columns([*by, "time", *more])
+            yield from kept.combine_chunks().to_batches()
+
+    # A zero's sign makes no series of its own.
+    tags = [(F.col(f"`{b}`") + F.lit(0).cast(kinds[b]) if kinds[b] in ("float", "double") else F.col(f"`{b}`")).alias(b) for b in by]
+    number = F.col(f"`{value}`").cast("double")
+    kept = points.select(*tags, F.col("time").cast("long").alias("_time"), number.alias("_value")).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    dealt = kept.repartition(*(F.col(f"`{b}`") for b in by)) if by else kept.repartition(1)
+    return dealt.sortWithinPartitions(*(F.col(f"`{b}`") for b in by), "_time", "_value").mapInArrow(run, key + ("model string" if task == "fit" else "time long, value double, score double, anomaly boolean"))
