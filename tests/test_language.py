@@ -11,7 +11,7 @@ from tidewell.functions.scalar import FUNCTIONS
 from tidewell.model import Measurement, measurement
 from tidewell.operators import aggregates as A
 from tidewell.operators.causes import root_causes
-from tidewell.operators.forecast import DETECTORS, Detector, _whole_series, detected, fitted, register_detector, residual_scores, residual_scores_of_many
+from tidewell.operators.forecast import DETECTORS, Detector, Deviation, _whole_series, detected, fitted, register_detector, residual_scores, residual_scores_of_many
 from tidewell.operators.graph import run_graph
 from tidewell.plans.database import Database
 from tidewell.plans.logs import LogError, search
@@ -339,3 +339,21 @@ def test_series_go_on_in_the_next_batch():
     table = pa.table({"t": pa.array(keys), "n": list(range(len(keys)))})
     got = [(rows.column("t")[int(i)].as_py(), n) for rows, starts in _whole_series(table.to_batches(max_chunksize=2), ("t",), 3) for i, n in zip(starts, np.diff([*starts, len(rows)]))]
     assert got == [(None, 3), ("a", 11), ("b", 1), ("c", 1), ("d", 4)]
+
+
+def test_deviations_of_many_series_are_those_of_each():
+    g = np.random.default_rng(4)
+    ends = np.cumsum(g.integers(1, 300, 200))
+    starts, values = np.concatenate([[0], ends[:-1]]), g.exponential(50, ends[-1])
+    one = Deviation()
+    assert one.fit_each(values, starts, ends) == [one.fit(values[a:b]) for a, b in zip(starts, ends)]
+
+    class Alone(Deviation):
+        def fit(self, values):
+            return {"mean": 0.0, "sd": 1.0}
+
+    assert Alone().fit_each(values, starts, ends) == [{"mean": 0.0, "sd": 1.0}] * 200
+    counted = []
+    one.fit = lambda values: counted.append(len(values))
+    one.fit_each(values, starts, ends)
+    assert counted == []

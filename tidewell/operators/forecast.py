@@ -198,6 +198,15 @@ class Deviation(Detector):
     def fit(self, values):
         return {"mean": float(np.mean(values)), "sd": float(np.std(values))}
 
+    def fit_each(self, values, starts, ends):
+        if type(self) is not Deviation:
+            return super().fit_each(values, starts, ends)
+        mean, sd = np.empty(len(starts)), np.empty(len(starts))
+        for places, index in _by_length(starts, ends):
+            rows = values[index]
+            mean[places], sd[places] = np.mean(rows, axis=1), np.std(rows, axis=1)
+        return [{"mean": m, "sd": d} for m, d in zip(mean.tolist(), sd.tolist())]
+
     def scores(self, values, model):
         away = np.asarray(values, float) - model["mean"]
         return away / model["sd"] if model["sd"] > 0 else np.where(away == 0, 0.0, np.sign(away) * np.inf)
