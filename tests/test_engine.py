@@ -11,6 +11,7 @@ from tidewell.functions import vectors as V
 from tidewell.functions.scalar import FUNCTIONS, int_divide, int_modulo
 from tidewell.model import Measurement
 from tidewell.operators import aggregates as A
+from tidewell.operators import geofence as fence
 from tidewell.operators import joins as J
 from tidewell.operators.fill import fill
 from tidewell.plans import catalog
@@ -148,3 +149,18 @@ def test_transforms_of_fields_with_nulls_side_by_side(spark):
     m = Measurement(spark.createDataFrame(rows, "t string, time long, v double, w double"), ("t",), ("v", "w"))
     got = run_sql("SELECT difference(v) AS d, elapsed(v) AS e, moving_average(w, 2) AS a, cumulative_sum(v) AS s FROM m GROUP BY t", {"m": m})
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([("a", 0, None, None, None, 1.0), ("a", 1, None, None, 15.0, None), ("a", 2, 3.0, 2, 35.0, 5.0), ("a", 2, 0.0, 0, 50.0, 9.0), ("a", 3, 1.0, 1, None, 14.0), ("b", 0, None, None, None, 7.0)], key=str)
+
+
+def test_fences_are_measured_in_tasks_by_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(fence, "TASK_PAIRS", 500)
+    monkeypatch.setattr(fence, "CELL_PAIRS", 300)
+    at = lambda k: (F.lit(50.0) + F.col("id") * k % 97 / 40.0, F.lit(-180.5) + F.col("id") * k % 89 / 30.0)
+    points = spark.range(400).select("id", at(37)[0].alias("lat"), at(11)[1].alias("lon"))
+    radii = F.element_at(F.array(*(F.lit(float(r)) for r in (0, 1, 20_000, 90_000, 250_000, -5, 2e7, 3e7))), (F.col("id") % 8 + 1).cast("int"))
+    fences = spark.range(80).select(F.col("id").alias("fence_id"), at(37)[0].alias("lat"), at(11)[1].alias("lon"), radii.alias("radius"))
+    got = fence.in_fences(points, fences, cell=1.0)
+    pair = points.crossJoin(fences.select("fence_id", F.col("lat").alias("flat"), F.col("lon").alias("flon"), "radius"))
+    want = pair.where(fence.distance(F.col("lat"), F.col("lon"), F.col("flat"), F.col("flon")) <= F.col("radius")).select("id", "lat", "lon", "fence_id")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+    sizes = [n for n in got.rdd.glom().map(len).collect() if n]
+    assert len(sizes) > 20 and max(sizes) < 0.2 * sum(sizes)
